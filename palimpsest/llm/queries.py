@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import minhash
+from . import minhash, suffix
 
 QUERIES = {
+    "op2_suffix_array_dedup": suffix.op2_suffix_array_dedup,
     "op10_minhash_near_dedup": minhash.op10_minhash_near_dedup,
 }
 

@@ -138,15 +138,15 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 K = 12  # words hashed into an anchor
 
 
-def anchors(words: Words, length: int, k: int = K) -> dict[str, np.ndarray]:
+def anchors(words: Words, length: int, same: np.ndarray, k: int = K) -> dict[str, np.ndarray]:
     """Winnowed anchors: every window of ``length`` words holds its own, chosen by content alone.
 
     The anchor of a window is the k words with the least hash in it, the last of equals.
     Two windows with the same words have the same anchor at the same place, so equal
     windows always meet at an equal anchor. Each anchor comes with the first and
     last window that chose it; ``tag`` covers the words on the left of the first window up to the
-    anchor, or stands for the text where that window begins it. All places count words
-    in the text.
+    anchor, or stands for the text, by its number in ``same``, where that window begins it. All
+    places count words in the text.
     """
     w = length - k + 1
     g = words.grams(k)
@@ -168,7 +168,7 @@ def anchors(words: Words, length: int, k: int = K) -> dict[str, np.ndarray]:
     of, f, lo, hi = of[first], a[first], p[first], p[last]
     base = words.offset[of]
     left = np.maximum(lo - 1, base)
-    tag = np.where(lo == base, mix(words.whole()[of] ^ U(0xA5A5A5A5A5A5A5A5)), words.span(left, f))
+    tag = np.where(lo == base, mix(same.view(U)[of] ^ U(0xA5A5A5A5A5A5A5A5)), words.span(left, f))
     return {"doc": of, "pos": f - base, "lo": lo - base, "hi": hi - base, "fp": g[f].view(np.int64), "tag": tag.view(np.int64)}
 
 
