@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import minhash, suffix
+from . import fmindex, minhash, suffix
 
 QUERIES = {
     "op2_suffix_array_dedup": suffix.op2_suffix_array_dedup,
+    "op8_fm_index_substring_dedup": fmindex.op8_fm_index_substring_dedup,
     "op10_minhash_near_dedup": minhash.op10_minhash_near_dedup,
 }
 

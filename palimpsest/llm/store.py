@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -43,6 +44,19 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_IDS = 4_000_000  # 8-byte ids, 32 MB; a hash table of them takes about twice that
+
+
+def only(df: DataFrame, ids: DataFrame, on: str | list[str]) -> DataFrame:
+    """Rows of ``df`` whose key is in ``ids``, a written table.
+
+    Up to BROADCAST_IDS keys are broadcast, so that no other text is shuffled;
+    beyond, the join shuffles both sides. The rows are the same.
+    """
+    few = ids.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, on, "left_semi")
+
+
 def clear() -> None:
     """Remove the intermediate tables; whatever still reads them must have ended."""
     while _made:
