@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import only, written
 from .words import Words, anchors, chunks, squeeze, texts
 
 LENGTH = 50  # words
@@ -301,10 +301,12 @@ def maximal_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         .groupBy("doc_id", "same").agg(F.collect_list(F.struct("fp", "pos", "lo", "hi", "starts")).alias("marks"))
         .where(F.exists("marks", lambda m: m["starts"])).join(copy.select("same", F.col("rep").alias("doc_id"), "copies"), ["doc_id", "same"], "left")
     )
-    context = base.join(written(marks), ["doc_id", "same"]).select("doc_id", "text", "marks", "copies").mapInArrow(_contexts(length), CONTEXT)
+    marks = written(marks)
+    ids = written(marks.select("doc_id").distinct())
+    context = only(base, ids, "doc_id").join(marks, ["doc_id", "same"]).select("doc_id", "text", "marks", "copies").mapInArrow(_contexts(length), CONTEXT)
     tree = context.repartition("fp").sortWithinPartitions("fp").mapInArrow(_groups(length), GROUP)
     whole = copy.select("same", F.col("rep").alias("doc_id"), "copies")
-    same = base.join(whole, ["doc_id", "same"]).select("text", "copies").mapInArrow(_whole(length), GROUP).dropDuplicates(["group_id", "n_words"])
+    same = only(base, written(whole.select("doc_id").distinct()), "doc_id").join(whole, ["doc_id", "same"]).select("text", "copies").mapInArrow(_whole(length), GROUP).dropDuplicates(["group_id", "n_words"])
     return _merge(tree, same)
 
 
