@@ -57,6 +57,14 @@ def only(df: DataFrame, ids: DataFrame, on: str | list[str]) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, on, "left_semi")
 
 
+BROADCAST_GROUPS = 200_000  # rows of a few dozen bytes
+
+
+def only_few(table: DataFrame) -> DataFrame:
+    """A written table of one row a group, broadcast where it is small enough."""
+    return F.broadcast(table) if table.count() <= BROADCAST_GROUPS else table
+
+
 def clear() -> None:
     """Remove the intermediate tables; whatever still reads them must have ended."""
     while _made:
