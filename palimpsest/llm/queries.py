@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from . import fmindex, minhash, suffix
+from . import fmindex, licenses, minhash, mixing, rules, suffix
 
 QUERIES = {
     "op2_suffix_array_dedup": suffix.op2_suffix_array_dedup,
+    "op5_adaptive_quality_rules": rules.op5_adaptive_quality_rules,
+    "op6_hash_threshold_mixing": mixing.op6_hash_threshold_mixing,
     "op8_fm_index_substring_dedup": fmindex.op8_fm_index_substring_dedup,
+    "op9_license_scan": licenses.op9_license_scan,
     "op10_minhash_near_dedup": minhash.op10_minhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op5_adaptive_quality_rules": rules.ORACLE,
+    "op6_hash_threshold_mixing": mixing.ORACLE,
+    "op9_license_scan": licenses.ORACLE,
+}
