@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import written
+from .store import only, written
 from .words import U, Words, chunks, mix, ranges, texts
 
 SHINGLE, SIDE, HASHES, LEAST = 3, 6, 2, 0.6
@@ -130,18 +130,19 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, side: int = SIDE
     buckets = keyed.groupBy("key").agg(F.min("rep").alias("b"), F.count("*").alias("n")).where("n > 1")
     member = written(keyed.join(buckets.select("key", "b"), "key").where("rep <> b").select("key", F.col("rep").alias("a"), "b"))
     stars = written(member.select("a", "b").distinct())
-    wanted = stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct()
-    sets = written(slim.join(wanted, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_sets(shingle), "doc_id long, shingles binary"))
+    wanted = written(stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct())
+    sets = written(only(slim, wanted, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_sets(shingle), "doc_id long, shingles binary"))
     first = written(_check(stars, sets, least))
     # Who isn't like the bucket's least is compared with the whole bucket.
     apart = member.join(first.where("not near").select("a", "b"), ["a", "b"]).select("key", F.col("a").alias("x"))
     rest = apart.join(member.select("key", F.col("a").alias("y")), "key").where("x <> y")
     rest = rest.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
     second = _check(rest, sets, least)
-    near = first.where("near").unionByName(second.where("near")).select("a", "b")
-    root = components(near)
-    exact = written(root.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    score = _check(exact, sets, 0.0).select(F.col("a").alias("rep"), F.col("b").alias("root"), "jaccard")
+    known = written(first.unionByName(second))
+    root = components(known.where("near").select("a", "b"))
+    exact = written(root.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).join(known.select("a", "b", "jaccard"), ["a", "b"], "left"))
+    other = _check(exact.where("jaccard is null").select("a", "b"), sets, 0.0).select("a", "b", "jaccard")
+    score = exact.where("jaccard is not null").unionByName(other).select(F.col("a").alias("rep"), F.col("b").alias("root"), "jaccard")
     members = sketch.select("doc_id", "same").join(classes.select("same", "rep"), "same").select("doc_id", "rep").distinct()
     out = members.join(score, "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("near_doc_id"), F.coalesce("jaccard", F.lit(1.0)).alias("jaccard"))
     return out.where("doc_id <> near_doc_id")
