@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from . import fmindex, licenses, minhash, mixing, rules, suffix
+from . import bpe, fmindex, licenses, minhash, mixing, rules, suffix, warc
 
 QUERIES = {
+    "op1_warc_derivatives": warc.op1_warc_derivatives,
     "op2_suffix_array_dedup": suffix.op2_suffix_array_dedup,
     "op5_adaptive_quality_rules": rules.op5_adaptive_quality_rules,
     "op6_hash_threshold_mixing": mixing.op6_hash_threshold_mixing,
+    "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_fm_index_substring_dedup": fmindex.op8_fm_index_substring_dedup,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_minhash_near_dedup": minhash.op10_minhash_near_dedup,
 }
 
 ORACLES = {
+    "op1_warc_derivatives": warc.ORACLE,
     "op5_adaptive_quality_rules": rules.ORACLE,
     "op6_hash_threshold_mixing": mixing.ORACLE,
     "op9_license_scan": licenses.ORACLE,
