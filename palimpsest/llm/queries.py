@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, factorisation, fmindex, licenses, minhash, mixing, rules, suffix, warc
+from . import bpe, factorisation, fmindex, licenses, minhash, mixing, rules, suffix, vptree, warc
 
 QUERIES = {
     "op1_warc_derivatives": warc.op1_warc_derivatives,
     "op2_suffix_array_dedup": suffix.op2_suffix_array_dedup,
     "op3_factorisation_machine": factorisation.op3_factorisation_machine,
+    "op4_vp_tree_neighbours": vptree.op4_vp_tree_neighbours,
     "op5_adaptive_quality_rules": rules.op5_adaptive_quality_rules,
     "op6_hash_threshold_mixing": mixing.op6_hash_threshold_mixing,
     "op7_byte_bpe": bpe.op7_byte_bpe,
