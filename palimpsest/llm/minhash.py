@@ -13,7 +13,7 @@ from .graph import components
 from .store import only, written
 from .words import U, Words, chunks, mix, ranges, texts
 
-SHINGLE, SIDE, HASHES, LEAST = 3, 6, 2, 0.6
+SHINGLE, SIDE, HASHES, LEAST = 3, 8, 2, 0.5
 
 
 def _shingles(docs: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
