@@ -15,6 +15,7 @@ RULES = {
     "symbol_share": ("high", 20, 6),
     "upper_share": ("high", 20, 6),
     "repeat_share": ("high", 20, 6),
+    "bare_share": ("high", 20, 6),
     "distinct_share": ("low", 4, 60),
     "word_length": ("high", 20, 30),
 }
@@ -38,6 +39,7 @@ def with_features(docs: DataFrame) -> DataFrame:
     x = docs.withColumns(features())
     n, chars = F.size("__w"), F.greatest("__chars", F.lit(1))
     again = F.size(F.filter(F.zip_with("__w", F.slice("__w", F.lit(2), F.greatest(n, F.lit(1))), lambda a, b: a == b), lambda e: e))
+    bare = F.size(F.filter("__w", lambda w: (F.length(w) <= 3) & ~F.rlike(w, F.lit("[\\p{L}\\p{N}]"))))  # a few symbols alone
 
     def per(a: Column, b: Column, k: int) -> Column:
         return F.call_function("div", a.cast("long") * k, F.greatest(b.cast("long"), F.lit(1)))
@@ -47,6 +49,7 @@ def with_features(docs: DataFrame) -> DataFrame:
         per(F.col("__symbols"), chars, 1000).alias("symbol_share"),
         per(F.col("__upper"), chars, 1000).alias("upper_share"),
         per(again, n, 1000).alias("repeat_share"),
+        per(bare, n, 1000).alias("bare_share"),
         per(F.size(F.array_distinct("__w")), n, 1000).alias("distinct_share"),
         per(F.col("__chars"), n, 100).alias("word_length"),
     )
@@ -166,11 +169,12 @@ f as (
     1000 * symbols // greatest(chars, 1) as symbol_share,
     1000 * upper // greatest(chars, 1) as upper_share,
     1000 * len(list_filter(list_zip(w, w[2:]), lambda p: p[1] = p[2])) // greatest(len(w), 1) as repeat_share,
+    1000 * len(list_filter(w, lambda x: length(x) <= 3 and not regexp_matches(x, '[\\p{L}\\p{N}]'))) // greatest(len(w), 1) as bare_share,
     1000 * len(list_distinct(w)) // greatest(len(w), 1) as distinct_share,
     100 * chars // greatest(len(w), 1) as word_length
   from words),
-long as (unpivot (select kl, ks, symbol_share, upper_share, repeat_share, distinct_share, word_length from f where n_words >= 20)
-  on symbol_share, upper_share, repeat_share, distinct_share, word_length into name feature value x),
+long as (unpivot (select kl, ks, symbol_share, upper_share, repeat_share, bare_share, distinct_share, word_length from f where n_words >= 20)
+  on symbol_share, upper_share, repeat_share, bare_share, distinct_share, word_length into name feature value x),
 sketch as (
   select kl as lang, ks as source, feature, (x >> greatest(length(bin(x)) - 7, 0)) << greatest(length(bin(x)) - 7, 0) as value, count(*) as n
   from long group by all)"""
@@ -178,6 +182,6 @@ sketch as (
 ORACLE = f"""
 with {_FEATURES_SQL},
 t as ({_quartiles("sketch")})
-select f.doc_id, f.lang, f.source, n_words, symbol_share, upper_share, repeat_share, distinct_share, word_length
+select f.doc_id, f.lang, f.source, n_words, symbol_share, upper_share, repeat_share, bare_share, distinct_share, word_length
 from f left join t on f.kl = t.lang and f.ks = t.source
 where n_words > 0 and (n_words < {LEAST_WORDS} or ({" and ".join(f"coalesce({k} {'<=' if s == 'high' else '>='} {k}_{s}, true)" for k, (s, _, _) in RULES.items())}))"""
