@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.vector import cosine
+from .store import micros
 
 DIMS = ("semantic", "bm25", "temporal", "causal", "entity")
 WEIGHTS = {"temporal": (0.35, 0.20, 0.35, 0.05, 0.05), "causal": (0.35, 0.20, 0.05, 0.35, 0.05), "entity": (0.35, 0.20, 0.05, 0.05, 0.35), "factual": (0.50, 0.30, 0.10, 0.05, 0.05)}
@@ -92,7 +93,7 @@ def bridge_dialog(fused: DataFrame, turns: DataFrame, queries: DataFrame, least:
     best = Window.partitionBy("query_id").orderBy(F.desc("fused_score"), "id")
     parent = fused.withColumn("r", F.row_number().over(best)).where((F.col("r") <= 3) & (F.col("fused_score") >= least))
     at = parent.select("query_id", "id", "fused_score").join(turns.select("id", "conv", "turn"), "id")
-    want = at.select("query_id", "fused_score", "conv", (F.col("turn") + F.explode(F.array(*map(F.lit, (-2, -1, 1, 2))))).alias("turn")).where("turn >= 1")
+    want = at.select("query_id", "fused_score", "conv", "turn", F.explode(F.array(*map(F.lit, (-2, -1, 1, 2)))).alias("delta")).select("query_id", "fused_score", "conv", (F.col("turn") + F.col("delta")).alias("turn")).where("turn >= 1")
     near = want.groupBy("query_id", "conv", "turn").agg(F.max("fused_score").alias("p"))
     x = near.join(turns, ["conv", "turn"]).join(fused.select("query_id", "id"), ["query_id", "id"], "left_anti").join(queries.select("query_id", "query_embedding"), "query_id")
     x = x.withColumn("c", cosine(F.col("query_embedding"), F.col("embedding"))).where("c >= 0.2")
@@ -173,7 +174,7 @@ def adaptive_k(fused: DataFrame, threshold: float, limit: int) -> DataFrame:
     x = fused.withColumn("e", F.exp(F.col("fused_score") - F.max("fused_score").over(w))).withColumn("rank", F.row_number().over(order)).withColumn("n", F.count("*").over(w))
     before = F.sum("e").over(order.rowsBetween(Window.unboundedPreceding, -1)) / F.sum("e").over(w)
     least = F.least(F.col("n"), F.lit(max(limit // 3, 5)))
-    return x.where("true").withColumn("b", F.coalesce(before, F.lit(0.0))).where((F.col("b") < threshold) | (F.col("rank") <= least)).select("query_id", "id", "fused_score", "rank")
+    return x.withColumn("b", F.coalesce(before, F.lit(0.0))).where((F.col("b") < threshold) | (F.col("rank") <= least)).select("query_id", "id", "fused_score", "rank")
 
 
 RERANK = {"temporal": (0.25, 0.20, 0.45, 0.10), "causal": (0.35, 0.30, 0.15, 0.20), "entity": (0.30, 0.25, 0.05, 0.40), "factual": (0.50, 0.35, 0.05, 0.10)}
@@ -185,10 +186,10 @@ def heuristic_rerank(fused: DataFrame, memories: DataFrame, queries: DataFrame,
     ``queries`` has query_id, query_text, intent.
     """
     w = Window.partitionBy("query_id").orderBy(F.desc("fused_score"), "id")
-    x = fused.withColumn("r", F.row_number().over(w)).where(F.col("r") <= depth).join(memories.select("id", "content", "created_at"), "id").join(queries.select("query_id", tx.terms(F.col("query_text")).alias("qt"), "intent"), "query_id")
+    x = fused.withColumn("r", F.row_number().over(w)).where(F.col("r") <= depth).join(memories.select("id", "content", micros(memories, "created_at").alias("us")), "id").join(queries.select("query_id", tx.terms(F.col("query_text")).alias("qt"), "intent"), "query_id")
     caps = F.array_distinct(F.transform(F.filter(tx.words(F.col("content")), lambda s: (F.octet_length(s) > 2) & s.rlike("^\\p{Lu}")), F.lower))
     ent = F.when((F.size("qt") > 0) & (F.size(caps) > 0), F.least(F.size(F.array_intersect("qt", caps)) / F.size("qt"), F.lit(1.0))).otherwise(0.0)
-    age = F.greatest((F.lit(now_us) - F.unix_micros("created_at")) / 86400e6, F.lit(0.0))
+    age = F.greatest((F.lit(now_us) - F.col("us")) / 86400e6, F.lit(0.0))
     tem = 0.05 + 0.95 * F.pow(F.lit(0.5), age / F.when(F.col("intent") == "temporal", 30.0).otherwise(365.0))
     parts = (F.col("semantic"), tx.jaccard(F.col("qt"), tx.terms(F.col("content"))), tem, ent)
     s = F.coalesce(*(F.when(F.col("intent") == k, sum((a * p for a, p in zip(v, parts)), F.lit(0.0))) for k, v in RERANK.items()))

@@ -15,6 +15,13 @@ OPS = {
 }
 
 
+def micros(df: DataFrame, column: str) -> Column:
+    """Microseconds since 1970; times without a zone count as UTC, whatever the session's zone."""
+    if df.schema[column].dataType.simpleString() == "timestamp_ntz":
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(column))
+    return F.unix_micros(column)
+
+
 def condition(f: dict) -> Column:
     """One filter, as {field, op, value} or {field, op: in, values}: strings compared byte by byte, a missing field never fits."""
     c = F.col("metadata")[f["field"]]
