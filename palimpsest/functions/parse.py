@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import FIRST_PERSON  # noqa: F401  (offered with the other query helpers)
 
@@ -31,7 +32,7 @@ def parsed_slm(raw: Column) -> Column:
     temporal = F.struct(*(F.coalesce(j["temporal"][k], none("array<string>")).alias(k) for k in ("markers", "absolute_dates")), *(_text(j["temporal"][k]).alias(k) for k in ("sequence", "relative_time")))
     causal = F.struct(F.coalesce(rels, none("array<struct<cause:string,effect:string,confidence:double>>")).alias("relationships"), F.coalesce(j["causal"]["density"], F.lit(0.0)).alias("density"), F.coalesce(j["causal"]["explicit_markers"], none("array<string>")).alias("explicit_markers"), F.coalesce(j["causal"]["has_implicit_causation"], F.lit(False)).alias("has_implicit_causation"))
     out = F.struct(F.coalesce(ents, none("array<struct<name:string,role:string,mentions:array<string>,type:string>>")).alias("entities"), temporal.alias("temporal"), causal.alias("causal"), F.coalesce(j["topics"], none("array<string>")).alias("topics"), F.least(F.greatest(F.coalesce(j["importance"], F.lit(0.5)), F.lit(0.0)), F.lit(1.0)).alias("importance"))
-    return F.when(F.coalesce(j["entities"], j["topics"]).isNotNull() | j["temporal"].isNotNull() | j["causal"].isNotNull(), out)
+    return F.when(j["entities"].isNotNull() | j["topics"].isNotNull() | j["temporal"].isNotNull() | j["causal"].isNotNull(), out)
 
 
 def slm_temporal_score(query: Column, t: Column) -> Column:
@@ -109,7 +110,7 @@ def repair_json(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def repaired(s: pd.Series) -> pd.Series:
     return s.map(repair_json)
 

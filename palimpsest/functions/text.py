@@ -175,7 +175,7 @@ FIRST_PERSON = "(?i)(?<![A-Za-z0-9'])(?:i|me|my|mine|myself|i'm|i've|i'd|i'll)(?
 
 def third_person(content: Column, speaker: Column) -> Column:
     """First-person words about the speaker in the third person."""
-    who = F.regexp_replace(speaker, "([\\\\$])", "\\\\\\\\$1")
+    who = F.regexp_replace(speaker, "([\\\\$])", "\\\\$1")
     out = content
     for pattern, after in (
         ("(?i)\\bI'm\\b", " is"), ("(?i)\\bI've\\b", " has"), ("(?i)\\bI'll\\b", " will"), ("(?i)\\bI'd\\b", " would"),
@@ -192,7 +192,7 @@ def contextualised(content: Column, speaker: Column) -> Column:
 
 def whole_word(text: Column, word: Column, possessive: bool = False) -> Column:
     """Whether a word stands in a text between other characters than ASCII letters and digits, case aside."""
-    quoted = F.regexp_replace(F.lower(word), "([^A-Za-z0-9 ])", "\\\\\\\\$1")
+    quoted = F.regexp_replace(F.lower(word), "([^A-Za-z0-9 ])", "\\\\$1")
     end = "(?:['’]s)?(?![A-Za-z0-9])" if possessive else "(?![A-Za-z0-9])"
     return F.rlike(F.lower(text), F.concat(F.lit("(?<![A-Za-z0-9])"), quoted, F.lit(end)))
 
