@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cmp_to_key
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import only, written
-from .words import Words, anchors, chunks, squeeze, texts
+from .words import Words, anchors, chunks, ranges, squeeze, texts
 
 LENGTH = 50  # words
+AT_ONCE = 16 << 20  # bytes of words that the places of one anchor may hold when sorted
 GROUP = "group_id long, n_words int, n_occurrences int, doc_ids array<long>, starts array<int>"
 
 
@@ -49,12 +51,13 @@ def _contexts(length: int):
     """Each anchor that begins a repeat somewhere, with the words that can belong to repeats through it.
 
     The right side ends where the anchors that occur more than once end: a repeat
-    can't go on beyond the reach of the last of them.
+    can't go on beyond the reach of the last of them. Places of one anchor with the same end share
+    the words from the first of them on: the words go out once, with all places.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {x: [] for x in ("fp", "doc_id", "copies", "pos", "lo", "hi", "at_start", "to_end", "left", "right")}
+            out: dict[str, list] = {x: [] for x in _KINDS}
             size = 0
             marks = batch.column(2).to_pylist()
             for doc, text, ms, copies in zip(batch.column(0).to_pylist(), texts(batch.column(1)), marks, batch.column(3).to_pylist()):
@@ -67,19 +70,19 @@ def _contexts(length: int):
                 for i in range(len(ms) - 1, -1, -1):
                     chained = i + 1 < len(ms) and ms[i + 1]["lo"] <= ms[i]["hi"] + 1
                     reach[i] = reach[i + 1] if chained else min(n, ms[i]["hi"] + length)
-                last: dict[int, int] = {}
+                shared: dict[tuple[int, int], list[dict]] = {}
                 for m, to in zip(ms, reach):
-                    f, lo = m["pos"], m["lo"]
-                    if not m["starts"] or f - last.get(m["fp"], -length) < length:
-                        continue
-                    last[m["fp"]] = f
-                    a = max(lo - 1, 0)
-                    left = raw[(ends[a - 1] + 1 if a else 0) : (ends[f - 1] if f else 0)] if f > a else b""
-                    right = raw[(ends[f - 1] + 1 if f else 0) : ends[to - 1]] + b" "
-                    for k, v in zip(out, (m["fp"], doc, copies or [doc], f, lo, m["hi"], lo == 0, to == n, left, right)):
+                    if m["starts"]:
+                        shared.setdefault((m["fp"], to), []).append(m)
+                for (fp, to), places in shared.items():
+                    pos, lo = (np.array([m[x] for m in places]) for x in ("pos", "lo"))
+                    begin = np.append(0, ends[:-1] + 1)[np.stack([np.maximum(lo - 1, 0), pos])]  # bytes where the left and the right side begin
+                    words = raw[begin[0, 0] : ends[to - 1]] + b" "
+                    begin -= begin[0, 0]
+                    for k, v in zip(out, (fp, doc, copies or [doc], pos, lo, [m["hi"] for m in places], begin[0], begin[1], words)):
                         out[k].append(v)
-                    size += len(right)
-                    if size > 8 << 20:
+                    size += len(words) + 20 * len(places)
+                    if size > 2 << 20:
                         yield _batch(out)
                         out, size = {k: [] for k in out}, 0
             yield _batch(out)
@@ -87,8 +90,9 @@ def _contexts(length: int):
     return run
 
 
-CONTEXT = "fp long, doc_id long, copies array<long>, pos int, lo int, hi int, at_start boolean, to_end boolean, left binary, right binary"
-_KINDS = {"fp": pa.int64(), "doc_id": pa.int64(), "copies": pa.list_(pa.int64()), "pos": pa.int32(), "lo": pa.int32(), "hi": pa.int32(), "at_start": pa.bool_(), "to_end": pa.bool_(), "left": pa.binary(), "right": pa.binary()}
+CONTEXT = "fp long, doc_id long, copies array<long>, pos array<int>, lo array<int>, hi array<int>, left array<int>, right array<int>, words binary"
+_INTS = pa.list_(pa.int32())
+_KINDS = {"fp": pa.int64(), "doc_id": pa.int64(), "copies": pa.list_(pa.int64()), "pos": _INTS, "lo": _INTS, "hi": _INTS, "left": _INTS, "right": _INTS, "words": pa.binary()}
 
 
 def _batch(out: dict[str, list]) -> pa.RecordBatch:
@@ -158,33 +162,64 @@ class _Found:
         return out
 
 
-def _bucket(rows: list[dict], length: int, found: _Found) -> None:
+def _sorted(places: list[tuple], limit: int) -> list[tuple]:
+    """By the words on the right, doc_id and position; beyond ``limit`` bytes the words are cut out for each comparison anew."""
+
+    def key(p: tuple) -> tuple:
+        return p[0][p[1] :], p[2], p[3]
+
+    def order(p: tuple, q: tuple) -> int:
+        x, y = p[0][p[1] : p[1] + 256], q[0][q[1] : q[1] + 256]
+        if x == y:
+            x, y = key(p), key(q)
+        return (x > y) - (x < y)
+
+    return sorted(places, key=key if sum(len(p[0]) - p[1] for p in places) <= limit else cmp_to_key(order))
+
+
+def _bucket(rows: list[dict], length: int, found: _Found, limit: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
     """All maximal repeats whose anchor this is: one enhanced suffix array, a scan for each left side.
 
     ``rows`` are the places of one anchor. The suffixes from the anchor on are sorted once;
     for each number of words to the left, places with the same words there form a class, and
     the intervals of the class in the array are repeats if the next words on the left differ.
+    Full batches of groups are given out at once, the rest stays in ``found``.
     """
-    rows.sort(key=lambda r: (r["right"], r["doc_id"], r["pos"]))
-    rows = [r for i, r in enumerate(rows) if not i or any(r[k] != rows[i - 1][k] for k in ("right", "doc_id", "pos"))]  # repeated input rows
-    n = len(rows)
-    right = [r["right"] for r in rows]
+    places = [(r["words"], b, r["doc_id"], f, lo, hi, a, r["copies"]) for r in rows for f, lo, hi, a, b in zip(r["pos"], r["lo"], r["hi"], r["left"], r["right"])]
+    if len(places) < 2:
+        return
+    places = _sorted(places, limit)
+
+    def right(p: tuple) -> bytes:
+        return p[0][p[1] :]
+
+    kept = places[:1]
     lcp, cut = [], []
-    for i in range(n - 1):
-        words, size = common_words(right[i], right[i + 1])
+    for p in places[1:]:
+        q = kept[-1]
+        if p[2:4] == q[2:4] and right(p) == right(q):  # repeated input rows
+            continue
+        words, size = common_words(right(q), right(p))
         lcp.append(words)
         cut.append(size)
-    left = [r["left"].split() for r in rows]
+        kept.append(p)
+    rows = [{"doc_id": p[2], "pos": p[3], "lo": p[4], "hi": p[5], "copies": p[7]} for p in kept]
+    n = len(rows)
+    left = [p[0][p[6] : p[1]].split() for p in kept]
     pos = np.array([r["pos"] for r in rows], np.int64)
     docs = np.array([r["doc_id"] for r in rows], np.int64)
-    many = any(len(r["copies"]) > 1 for r in rows)
+    number = np.array([len(r["copies"]) for r in rows], np.int64)
+    begin = np.cumsum(number) - number
+    copies = np.array([d for r in rows for d in r["copies"]], np.int64)
+    many = len(copies) > n
+    nearest = [r["pos"] - r["hi"] for r in rows]
 
     def put(o: int, value: int, at: list[int], size: int) -> None:
         i = at[0]
-        text = b"".join(w + b" " for w in left[i][len(left[i]) - o :]) + right[i][:size]
+        text = b"".join(w + b" " for w in left[i][len(left[i]) - o :]) + kept[i][0][kept[i][1] : kept[i][1] + size]
         if many:
-            d = np.concatenate([np.array(rows[j]["copies"], np.int64) for j in at])
-            s = np.concatenate([np.full(len(rows[j]["copies"]), pos[j] - o) for j in at])
+            idx = np.array(at)
+            d, s = copies[ranges(begin[idx], number[idx])], np.repeat(pos[idx] - o, number[idx])
         else:
             idx = np.array(at)
             d, s = docs[idx], pos[idx] - o
@@ -195,6 +230,14 @@ def _bucket(rows: list[dict], length: int, found: _Found) -> None:
         o, at = todo.pop()
         if len(at) < 2:
             continue
+        near = min(nearest[j] for j in at)
+        if o < near:  # no window begins nearer
+            same: dict[tuple, list[int]] = {}
+            for j in at:
+                if len(left[j]) >= near:
+                    same.setdefault(tuple(left[j][-near:]), []).append(j)
+            todo += [(near, x) for x in same.values() if len(x) > 1]
+            continue
         kinds: dict = {}
         label = []
         for j in at:
@@ -223,6 +266,8 @@ def _bucket(rows: list[dict], length: int, found: _Found) -> None:
                 if o + value >= length and differs[a] <= b and r["pos"] - r["hi"] <= o <= r["pos"] - r["lo"]:
                     k = min(range(a, b), key=pairs.__getitem__)
                     put(o, value, at[a : b + 1], sizes[k])
+                    if found.size > 50_000:
+                        yield found.batch()
         if len(kinds) < len(at):
             split: dict[int, list[int]] = {}
             for j, x in zip(at, label):
@@ -238,16 +283,12 @@ def _groups(length: int):
         rows: list[dict] = []
         fp = None
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in (r for i in range(0, batch.num_rows, 500) for r in batch.slice(i, 500).to_pylist()):
                 if r["fp"] != fp:
-                    if len(rows) > 1:
-                        _bucket(rows, length, found)
-                        if found.size > 200_000:
-                            yield found.batch()
+                    yield from _bucket(rows, length, found)
                     rows, fp = [], r["fp"]
                 rows.append(r)
-        if len(rows) > 1:
-            _bucket(rows, length, found)
+        yield from _bucket(rows, length, found)
         yield found.batch()
 
     return run
@@ -287,8 +328,8 @@ def maximal_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     in full.
 
     Words are parted by ASCII white space; how much of it doesn't matter. Null and shorter texts
-    have no repeats; rows with a null doc_id are left out. In a text that repeats itself at a
-    distance under ``length``, overlapping places of an anchor count once. A repeated doc_id
+    have no repeats; rows with a null doc_id are left out. Places may overlap: n equal words in
+    succession hold repeats of each length under n, so their places grow as n squared. A repeated doc_id
     is one document if its text is the same, else several that share the id. Other columns are ignored. No rows in: no rows out.
     """
     base = slim(docs)
@@ -349,7 +390,8 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = maximal_repeats(docs)
     place = F.arrays_zip(F.col("doc_ids").alias("doc"), F.col("starts").alias("start"))
     later = groups.select("n_words", F.explode(F.slice(place, F.lit(2), F.col("n_occurrences"))).alias("p"))
-    spans = later.select(F.col("p.doc").alias("__id"), F.struct(F.col("p.start").alias("start"), (F.col("p.start") + F.col("n_words")).alias("stop")).alias("s")).groupBy("__id").agg(F.collect_set("s").alias("__spans"))
+    longest = later.groupBy(F.col("p.doc").alias("__id"), F.col("p.start").alias("start")).agg(F.max(F.col("p.start") + F.col("n_words")).alias("stop"))  # covers all others from there
+    spans = longest.groupBy("__id").agg(F.collect_list(F.struct("start", "stop")).alias("__spans"))
     cut = docs.join(written(spans), docs["doc_id"].cast("long") == F.col("__id"), "left").select(*docs.columns, "__spans")
     out = cut.mapInArrow(_cut, docs.schema)
     return out.where("text is null or text <> ''").withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

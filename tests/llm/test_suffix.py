@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from corpus import DOCS, corpus, prose, rows
 
-from palimpsest.llm.suffix import intervals, maximal_repeats, without_repeats
+from palimpsest.llm.suffix import _sorted, intervals, maximal_repeats, without_repeats
 
 
 def brute(docs, length):
@@ -74,6 +74,37 @@ def test_one_word_over_and_over(spark):
     assert max(r.n_words for r in df.collect()) >= 2900
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_anchors_that_recur_within_a_passage(spark, seed):
+    """Lines over and over, and passages right after a part of themselves."""
+    rng = random.Random(seed)
+    shared = prose(rng, 60)
+    docs = []
+    for i in range(14):
+        d = prose(rng, rng.randrange(30))
+        for _ in range(rng.randrange(1, 4)):
+            a = rng.randrange(30)
+            unit = rng.choice((shared[:a], [f"u{rng.randrange(3)}" for _ in range(a)]))
+            d += rng.choice((unit * rng.randrange(2, 6), shared[a : a + 20] + shared, shared)) + prose(rng, rng.randrange(5))
+        docs.append((i, " ".join(d)))
+    want = brute(docs, 20)
+    assert len(want) > 5
+    assert ours(spark, docs, 20) == want
+
+
+def test_periodic_texts(spark):
+    docs = [(1, "a " * 200), (2, "b c " * 60), (3, "z " + "a " * 150), (4, "z a")]
+    assert ours(spark, docs, 20) == brute(docs, 20)
+
+
+def test_order_of_places_needs_no_copies():
+    rng = random.Random(9)
+    texts = [b"a " * 300, b"b c " * 100 + b"a " * 150, b"a " * 200 + b"d "]
+    places = [(t, p, rng.randrange(3), rng.randrange(9)) for t in texts for p in range(0, len(t), 2)]
+    rng.shuffle(places)
+    assert _sorted(places, 0) == _sorted(places, 1 << 30) == sorted(places, key=lambda p: (p[0][p[1] :], p[2], p[3]))
+
+
 def test_stage_keeps_the_first_place(spark):
     docs = corpus(4)
     df = spark.createDataFrame(rows(docs), DOCS)
