@@ -76,10 +76,57 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     return x.where("overlap >= o").select("doc_id", "block", "license", "overlap", (F.col("overlap").cast("double") / F.col("n")).alias("containment"))
 
 
+def wrapped(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
+    """The columns of scan: runs of two lines or more of which none alone holds ``least`` of a template's tokens, but all together do.
+
+    A run is of neighbouring lines that each hold a token of the template; lines without any token
+    (blank ones, rules, comment signs) don't count, all others end it, and so do lines that scan
+    reports for the template. From each first line it goes on to the first line with which it holds
+    enough; it is reported, as the block of its first line, if it no longer does without that line.
+    So each place of a wrapped license is reported once, by its shortest run.
+    """
+    templates = TEMPLATES if templates is None else templates
+    sets = {k: s for k, t in templates.items() if (s := _tokens(t))}
+    kind = "array<struct<block int, license string, overlap int, n int>>"
+
+    @F.udf(kind)
+    def runs(text):
+        lines = [frozenset(re.findall("[a-z0-9]+", line)) for line in text.lower().split("\n")]
+        words = frozenset().union(*lines)
+        out = []
+        for name, s in own.items():
+            need = math.ceil(least * len(s) - 1e-9)
+            if len(s & words) < need:
+                continue
+            near = [(i, s & t) for i, t in enumerate(lines) if t]
+            for a, (block, _) in enumerate(near):
+                held: set[str] = set()
+                for b in range(a, len(near)):
+                    if not near[b][1] or len(near[b][1]) >= need:
+                        break
+                    held |= near[b][1]
+                    if len(held) >= need:
+                        if len(frozenset().union(*(t for _, t in near[a + 1 : b + 1]))) < need:
+                            out.append((block, name, len(held), len(s)))
+                        break
+        return out
+
+    own = {k: frozenset(s) for k, s in sorted(sets.items())}
+    if not own:
+        return scan(docs, templates, least)
+    return docs.where("text is not null").select("doc_id", F.explode(runs("text")).alias("m")).select("doc_id", "m.block", "m.license", "m.overlap", (F.col("m.overlap").cast("double") / F.col("m.n")).alias("containment"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op9_license_scan_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9_license_scan, whose SQL goes by single lines, and the wrapped licenses."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return scan(docs).unionByName(wrapped(docs))
+
+
 _VALUES = ", ".join(f"""('{k}', '{v.replace("'", "''")}')""" for k, v in TEMPLATES.items())
 ORACLE = f"""
 with t as (

@@ -14,6 +14,7 @@ QUERIES = {
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_fm_index_substring_dedup": fmindex.op8_fm_index_substring_dedup,
     "op9_license_scan": licenses.op9_license_scan,
+    "op9_license_scan_wrapped": licenses.op9_license_scan_wrapped,
     "op10_minhash_near_dedup": minhash.op10_minhash_near_dedup,
 }
 

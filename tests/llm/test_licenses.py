@@ -2,11 +2,12 @@ from __future__ import annotations
 
 import random
 import re
+import textwrap
 
 from corpus import DOCS
 from test_rules import AWKWARD
 
-from palimpsest.llm.licenses import TEMPLATES, scan
+from palimpsest.llm.licenses import TEMPLATES, scan, wrapped
 
 
 def test_same_as_brute_force(spark):
@@ -38,3 +39,23 @@ def test_awkward_rows(spark):
     df = spark.createDataFrame(rows, DOCS + ", block long, license string")
     assert sorted((r.doc_id, r.block, r.license) for r in scan(df).collect()) == [(9, 0, "mit-notice"), (9, 2, "mit-notice"), (9, 5, "mit-notice")]
     assert scan(df.limit(0)).count() == 0 and scan(df, {"empty": "--"}).count() == 0
+
+
+def test_wrapped_licenses(spark):
+    long = [k for k, t in TEMPLATES.items() if len(t) > 100]
+    docs = []
+    for i, k in enumerate(long):
+        lines = textwrap.wrap(TEMPLATES[k], 70)
+        docs.append((i, "some code\n\n" + "\n".join(f" * {x}\n *" for x in lines) + "\n\nmore code", "en", "a", 1))
+    docs.append((90, "released under\nzebra\nthe MIT license", "en", "a", 1))  # not neighbours
+    docs.append((91, TEMPLATES["mit-notice"] + "\nthe MIT", "en", "a", 1))  # a line alone
+    docs.append((92, None, "en", "a", 1))
+    df = spark.createDataFrame(docs, DOCS)
+    assert len(long) == 4 and not [r for r in scan(df).collect() if r.license in long]
+    got = wrapped(df)
+    assert got.dtypes == scan(df).dtypes
+    rows = got.collect()
+    for i, k in enumerate(long):
+        assert len([r for r in rows if r.doc_id == i and r.license == k and r.block >= 2 and r.containment >= 0.8]) >= 1
+    assert not [r for r in rows if r.doc_id >= 90]
+    assert wrapped(df.limit(0)).count() == 0 and wrapped(df, {"empty": "--"}).count() == 0
