@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import only, written
-from .suffix import ANCHOR, anchor_rows, classes, slim
+from .suffix import ANCHOR, anchor_rows, slim
 from .words import U, Words, squeeze, texts
 
 LENGTH = 50  # words
@@ -256,12 +256,6 @@ def _search(length: int, piece: int):
     return run
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n = [len(t.split()) for t in texts(batch.column(0))]
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n, pa.int32())], ["copies", "n"])
-
-
 def repeated_intervals(docs: DataFrame, length: int = LENGTH, shard_words: int = SHARD_WORDS, piece: int = PIECE) -> DataFrame:
     """(doc_id, start, stop, n_words, other_doc_id): where each document repeats others.
 
@@ -282,8 +276,9 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, shard_words: int =
     base = slim(docs)
     anchor = written(base.mapInArrow(anchor_rows(length), ANCHOR).select("doc_id", "same", "lo", "hi", "fp"))
     per = anchor.groupBy("fp").agg(F.min("same").alias("s0"), F.max("same").alias("s1")).where("s0 <> s1").select("fp")
-    copy = written(classes(base))
-    extra = copy.select("same", "rep", F.explode("copies").alias("doc_id")).where("rep <> doc_id").select("doc_id", "same")
+    member = written(anchor.groupBy("doc_id", "same").agg((F.max("hi") + length).alias("n_words")))
+    copy = written(member.groupBy("same").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep <> last"))
+    extra = member.join(copy, "same").where("rep <> doc_id").select("doc_id", "same")
     marks = written(anchor.join(per, "fp", "left_semi").join(extra, ["doc_id", "same"], "left_anti").groupBy("doc_id", "same").agg(F.collect_set(F.struct("fp", "lo", "hi")).alias("marks")))
     ids = written(marks.select("doc_id").distinct())
     total = marks.agg(F.sum(F.aggregate("marks", F.lit(0), lambda s, m: s + m["hi"] - m["lo"] + length))).first()[0] or 0
@@ -291,10 +286,8 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, shard_words: int =
     text = only(base, ids, "doc_id").join(marks, ["doc_id", "same"]).select("doc_id", "text", "marks")
     segments = text.mapInArrow(_segments(length, shards), "shard int, doc_id long, start int, words binary")
     found = segments.groupBy("shard").applyInArrow(_search(length, piece), "doc_id long, start int, stop int, other_doc_id long")
-    whole = only(base, written(copy.select(F.col("rep").alias("doc_id"))), "doc_id").join(copy.select("same", F.col("rep").alias("doc_id"), "copies"), ["doc_id", "same"])
-    counted = whole.select("text", "copies").mapInArrow(_count, "copies array<long>, n int").where(F.col("n") >= length)
-    every = counted.select(F.explode("copies").alias("doc_id"), F.lit(0).alias("start"), F.col("n").alias("stop"), "copies")
-    every = every.select("doc_id", "start", "stop", F.when(F.col("copies")[0] == F.col("doc_id"), F.col("copies")[1]).otherwise(F.col("copies")[0]).alias("other_doc_id"))
+    other = F.when(F.col("doc_id") == F.col("rep"), F.col("last")).otherwise(F.col("rep"))
+    every = member.join(copy, "same").select("doc_id", F.lit(0).alias("start"), F.col("n_words").alias("stop"), other.alias("other_doc_id"))
     return _union(found.unionByName(every))
 
 

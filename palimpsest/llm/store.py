@@ -13,17 +13,29 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder; only where the session names none (tests) a local one is set."""
+    """The shared folder that the session names. Only a session on one machine may go without: it gets a local one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="palimpsest-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = "4m"  # of an Arrow batch; two of them, and what Python makes of one, are in memory for each task
+
+
+def settle(spark: SparkSession) -> None:
+    """Arrow batches by bytes, not by rows alone, unless the session has its own setting: texts differ in length."""
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, BATCH_BYTES)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
@@ -44,6 +56,14 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores in front as it takes for none to be a column of ``df``."""
+    have, head = {c.lower() for c in df.columns}, "__"
+    while any((head + n).lower() in have for n in names):
+        head += "_"
+    return [head + n for n in names]
+
+
 BROADCAST_IDS = 4_000_000  # 8-byte ids, 32 MB; a hash table of them takes about twice that
 
 
@@ -57,6 +77,12 @@ def only(df: DataFrame, ids: DataFrame, on: str | list[str]) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, on, "left_semi")
 
 
+def apart(df: DataFrame, ids: DataFrame, on: str | list[str]) -> DataFrame:
+    """Rows of ``df`` whose key isn't in ``ids``, a written table; sent as in ``only``."""
+    few = ids.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, on, "left_anti")
+
+
 BROADCAST_GROUPS = 200_000  # rows of a few dozen bytes
 
 

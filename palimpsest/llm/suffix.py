@@ -7,16 +7,21 @@ from functools import cmp_to_key
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import only, written
-from .words import Words, anchors, chunks, ranges, squeeze, texts
+from .store import apart, free, only, settle, written
+from .words import U, Words, anchors, chunks, mix, ranges, squeeze, texts
 
 LENGTH = 50  # words
+HOT = 10_000  # places of an anchor, from which on its tree is made level by level over all tasks
 AT_ONCE = 16 << 20  # bytes of words that the places of one anchor may hold when sorted
-GROUP = "group_id long, n_words int, n_occurrences int, doc_ids array<long>, starts array<int>"
+PLACE = "group_id long, n_words int, n_occurrences long, doc_id long, same binary, copies long, start int, first boolean"
+
+
+def seeds(same: pa.Array) -> np.ndarray:
+    """The first 64 bits of each text's hash."""
+    return np.array([int.from_bytes(x[:8], "little") for x in same.to_pylist()], U)
 
 
 def anchor_rows(length: int):
@@ -24,7 +29,7 @@ def anchor_rows(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, docs in chunks(batches):
-            a = anchors(Words(docs), length, batch.column(1).to_numpy())
+            a = anchors(Words(docs), length, seeds(batch.column(1)).view(np.int64))
             at = pa.array(a["doc"])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(at), batch.column(1).take(at), *(pa.array(a[x].astype(np.int32)) for x in ("pos", "lo", "hi")), pa.array(a["fp"]), pa.array(a["tag"])],
@@ -34,17 +39,25 @@ def anchor_rows(length: int):
     return run
 
 
-ANCHOR = "doc_id long, same long, pos int, lo int, hi int, fp long, tag long"
+ANCHOR = "doc_id long, same binary, pos int, lo int, hi int, fp long, tag long"
 
 
 def slim(docs: DataFrame) -> DataFrame:
-    """doc_id, a hash of the text, text; without null ids or texts."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("same"), "text").where("doc_id is not null and text is not null")
+    """doc_id, a hash of the text in 128 bits, text; without null ids or texts."""
+    settle(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5("text")).alias("same"), "text").where("doc_id is not null and text is not null")
+
+
+def classes(member: DataFrame) -> DataFrame:
+    """(same, rep, n): texts that several documents have, of distinct (doc_id, same); a row for each, however many they are."""
+    return member.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1")
 
 
-def classes(base: DataFrame) -> DataFrame:
-    """(same, rep, copies): documents with the same text as at least one other."""
-    return base.select("doc_id", "same").groupBy("same").agg(F.min("doc_id").alias("rep"), F.array_sort(F.collect_set("doc_id")).alias("copies")).where("size(copies) > 1").select("same", "rep", "copies")
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The rows as Python values, few at a time."""
+    for a in range(0, batch.num_rows, 20):
+        some = batch.slice(a, 20)
+        yield from zip(some.column(0).to_pylist(), texts(some.column(1)), *(some.column(c).to_pylist() for c in range(2, some.num_columns)))
 
 
 def _contexts(length: int):
@@ -59,8 +72,7 @@ def _contexts(length: int):
         for batch in batches:
             out: dict[str, list] = {x: [] for x in _KINDS}
             size = 0
-            marks = batch.column(2).to_pylist()
-            for doc, text, ms, copies in zip(batch.column(0).to_pylist(), texts(batch.column(1)), marks, batch.column(3).to_pylist()):
+            for doc, text, ms, same, copies in _rows(batch):
                 raw = squeeze(text)
                 ends = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)
                 ends = np.append(ends, len(raw))
@@ -79,10 +91,10 @@ def _contexts(length: int):
                     begin = np.append(0, ends[:-1] + 1)[np.stack([np.maximum(lo - 1, 0), pos])]  # bytes where the left and the right side begin
                     words = raw[begin[0, 0] : ends[to - 1]] + b" "
                     begin -= begin[0, 0]
-                    for k, v in zip(out, (fp, doc, copies or [doc], pos, lo, [m["hi"] for m in places], begin[0], begin[1], words)):
+                    for k, v in zip(out, (fp, doc, same, copies, pos, lo, [m["hi"] for m in places], begin[0], begin[1], words)):
                         out[k].append(v)
                     size += len(words) + 20 * len(places)
-                    if size > 2 << 20:
+                    if size > 1 << 20:
                         yield _batch(out)
                         out, size = {k: [] for k in out}, 0
             yield _batch(out)
@@ -90,9 +102,9 @@ def _contexts(length: int):
     return run
 
 
-CONTEXT = "fp long, doc_id long, copies array<long>, pos array<int>, lo array<int>, hi array<int>, left array<int>, right array<int>, words binary"
+CONTEXT = "fp long, doc_id long, same binary, copies long, pos array<int>, lo array<int>, hi array<int>, left array<int>, right array<int>, words binary"
 _INTS = pa.list_(pa.int32())
-_KINDS = {"fp": pa.int64(), "doc_id": pa.int64(), "copies": pa.list_(pa.int64()), "pos": _INTS, "lo": _INTS, "hi": _INTS, "left": _INTS, "right": _INTS, "words": pa.binary()}
+_KINDS = {"fp": pa.int64(), "doc_id": pa.int64(), "same": pa.binary(), "copies": pa.int64(), "pos": _INTS, "lo": _INTS, "hi": _INTS, "left": _INTS, "right": _INTS, "words": pa.binary()}
 
 
 def _batch(out: dict[str, list]) -> pa.RecordBatch:
@@ -131,33 +143,38 @@ def intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append((x, first))
 
 
+_PLACE = {"group_id": pa.int64(), "n_words": pa.int32(), "n_occurrences": pa.int64(), "doc_id": pa.int64(), "same": pa.binary(), "copies": pa.int64(), "start": pa.int32(), "first": pa.bool_()}
+
+
 class _Found:
-    """Groups found, as Arrow columns."""
+    """Places of the groups found, a row for each."""
 
     def __init__(self) -> None:
-        self.id: list[int] = []
-        self.words: list[int] = []
-        self.docs: list[np.ndarray] = []
-        self.starts: list[np.ndarray] = []
+        self.groups: list[tuple[int, int, int]] = []  # id, words, occurrences
+        self.n: list[int] = []
+        self.doc: list[np.ndarray] = []
+        self.start: list[np.ndarray] = []
+        self.copies: list[np.ndarray] = []
+        self.same: list[list[bytes]] = []
+        self.first: list[np.ndarray] = []
         self.size = 0
 
-    def add(self, text: bytes, n: int, docs: np.ndarray, starts: np.ndarray) -> None:
-        order = np.lexsort((starts, docs))
-        self.id.append(xxhash.xxh64_intdigest(text) - (1 << 63))
-        self.words.append(n)
-        self.docs.append(docs[order])
-        self.starts.append(starts[order])
-        self.size += len(docs)
+    def add(self, ident: int, n: int, doc: np.ndarray, start: np.ndarray, copies: np.ndarray, same: list[bytes]) -> None:
+        first = np.zeros(len(doc), bool)
+        first[np.lexsort((start, doc))[0]] = True
+        self.groups.append((ident, n, int(copies.sum())))
+        self.n.append(len(doc))
+        for x, y in zip((self.doc, self.start, self.copies, self.same, self.first), (doc, start, copies, same, first)):
+            x.append(y)
+        self.size += len(doc)
 
     def batch(self) -> pa.RecordBatch:
-        n = np.array([len(d) for d in self.docs], np.int32)
-        at = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-        docs = np.concatenate(self.docs) if self.docs else np.empty(0, np.int64)
-        starts = np.concatenate(self.starts) if self.docs else np.empty(0, np.int32)
-        out = pa.RecordBatch.from_arrays(
-            [pa.array(self.id, pa.int64()), pa.array(self.words, pa.int32()), pa.array(n), pa.ListArray.from_arrays(at, pa.array(docs.astype(np.int64))), pa.ListArray.from_arrays(at, pa.array(starts.astype(np.int32)))],
-            ["group_id", "n_words", "n_occurrences", "doc_ids", "starts"],
-        )
+        g = np.array(self.groups, np.int64).reshape(-1, 3)
+        each = [np.repeat(g[:, i], np.array(self.n, np.int64)) for i in range(3)]
+        flat = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (self.doc, self.copies, self.start, self.first)]
+        same = [b for x in self.same for b in x]
+        cols = (*each, flat[0], same, flat[1], flat[2], flat[3])
+        out = pa.RecordBatch.from_arrays([pa.array(c if isinstance(c, list) else c.astype(t.to_pandas_dtype()), t) for c, t in zip(cols, _PLACE.values())], list(_PLACE))
         self.__init__()
         return out
 
@@ -185,7 +202,7 @@ def _bucket(rows: list[dict], length: int, found: _Found, limit: int = AT_ONCE)
     the intervals of the class in the array are repeats if the next words on the left differ.
     Full batches of groups are given out at once, the rest stays in ``found``.
     """
-    places = [(r["words"], b, r["doc_id"], f, lo, hi, a, r["copies"]) for r in rows for f, lo, hi, a, b in zip(r["pos"], r["lo"], r["hi"], r["left"], r["right"])]
+    places = [(r["words"], b, r["doc_id"], f, lo, hi, a, r["copies"], r["same"]) for r in rows for f, lo, hi, a, b in zip(r["pos"], r["lo"], r["hi"], r["left"], r["right"])]
     if len(places) < 2:
         return
     places = _sorted(places, limit)
@@ -194,36 +211,34 @@ def _bucket(rows: list[dict], length: int, found: _Found, limit: int = AT_ONCE)
         return p[0][p[1] :]
 
     kept = places[:1]
-    lcp, cut = [], []
+    lcp = []
     for p in places[1:]:
         q = kept[-1]
-        if p[2:4] == q[2:4] and right(p) == right(q):  # repeated input rows
+        if p[2:4] == q[2:4] and p[8] == q[8]:  # repeated input rows
             continue
-        words, size = common_words(right(q), right(p))
-        lcp.append(words)
-        cut.append(size)
+        lcp.append(common_words(right(q), right(p))[0])
         kept.append(p)
-    rows = [{"doc_id": p[2], "pos": p[3], "lo": p[4], "hi": p[5], "copies": p[7]} for p in kept]
+    rows = [{"pos": p[3], "lo": p[4], "hi": p[5]} for p in kept]
     n = len(rows)
     left = [p[0][p[6] : p[1]].split() for p in kept]
     pos = np.array([r["pos"] for r in rows], np.int64)
-    docs = np.array([r["doc_id"] for r in rows], np.int64)
-    number = np.array([len(r["copies"]) for r in rows], np.int64)
-    begin = np.cumsum(number) - number
-    copies = np.array([d for r in rows for d in r["copies"]], np.int64)
-    many = len(copies) > n
+    docs = np.array([p[2] for p in kept], np.int64)
+    copies = np.array([p[7] for p in kept], np.int64)
+    texts_of = [p[8] for p in kept]
     nearest = [r["pos"] - r["hi"] for r in rows]
-
-    def put(o: int, value: int, at: list[int], size: int) -> None:
-        i = at[0]
-        text = b"".join(w + b" " for w in left[i][len(left[i]) - o :]) + kept[i][0][kept[i][1] : kept[i][1] + size]
-        if many:
-            idx = np.array(at)
-            d, s = copies[ranges(begin[idx], number[idx])], np.repeat(pos[idx] - o, number[idx])
-        else:
-            idx = np.array(at)
-            d, s = docs[idx], pos[idx] - o
-        found.add(text, o + value, d, s)
+    hashed: dict[int, Words] = {}
+
+    def put(o: int, value: int, at: list[int]) -> None:
+        words, right_at = kept[at[0]][:2]
+        w = hashed.get(id(words))
+        if w is None:
+            if len(hashed) > 64:
+                hashed.clear()
+            w = hashed[id(words)] = Words([words[:-1]])
+        x = int(np.searchsorted(w.start, right_at))
+        idx = np.array(at)
+        ident = w.span(np.array([x - o]), np.array([x + value])).view(np.int64)[0]
+        found.add(int(ident), o + value, docs[idx], pos[idx] - o, copies[idx], [texts_of[i] for i in at])
 
     todo: list[tuple[int, list[int]]] = [(0, list(range(n)))]  # words to the left, places that share them
     while todo:
@@ -246,15 +261,7 @@ def _bucket(rows: list[dict], length: int, found: _Found, limit: int = AT_ONCE)
             key = w[-1 - o] if o < len(w) else (None, j)
             label.append(kinds.setdefault(key, len(kinds)))
         if len(kinds) > 1:
-            pairs, sizes = [], []
-            for x, y in zip(at, at[1:]):
-                if y == x + 1:
-                    pairs.append(lcp[x])
-                    sizes.append(cut[x])
-                else:
-                    k = min(range(x, y), key=lcp.__getitem__)
-                    pairs.append(lcp[k])
-                    sizes.append(cut[k])
+            pairs = [lcp[x] if y == x + 1 else min(lcp[x:y]) for x, y in zip(at, at[1:])]
             differs = [0] * len(at)  # the next place with another word on the left
             nxt = len(at)
             for i in range(len(at) - 1, -1, -1):
@@ -264,8 +271,7 @@ def _bucket(rows: list[dict], length: int, found: _Found, limit: int = AT_ONCE)
             for value, a, b in intervals(pairs):
                 r = rows[at[a]]
                 if o + value >= length and differs[a] <= b and r["pos"] - r["hi"] <= o <= r["pos"] - r["lo"]:
-                    k = min(range(a, b), key=pairs.__getitem__)
-                    put(o, value, at[a : b + 1], sizes[k])
+                    put(o, value, at[a : b + 1])
                     if found.size > 50_000:
                         yield found.batch()
         if len(kinds) < len(at):
@@ -297,26 +303,167 @@ def _groups(length: int):
 def _whole(length: int):
     """Texts that occur more than once, as groups."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, docs in chunks(batches):
+            w = Words(docs)
+            at = pa.array(np.flatnonzero(w.count >= length))
+            n = w.count[at.to_numpy()]
+            doc, same, copies = (batch.column(i).take(at) for i in (0, 2, 3))
+            yield pa.RecordBatch.from_arrays([pa.array(w.whole()[at.to_numpy()].view(np.int64)), pa.array(n.astype(np.int32)), copies, doc, same, copies, pa.array(np.zeros(len(n), np.int32)), pa.array(np.ones(len(n), bool))], list(_PLACE))
+
+    return run
+
+
+def _windows(length: int):
+    """The windows of a hot anchor's places: (h, left), a hash of the words and one of the word before."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = _Found()
-            for text, copies in zip(texts(batch.column(0)), batch.column(1).to_pylist()):
-                words = squeeze(text)
-                n = words.count(b" ") + 1 if words else 0
-                if n >= length:
-                    found.add(words + b" ", n, np.array(copies, np.int64), np.zeros(len(copies), np.int64))
-            yield found.batch()
+            for r in _each(batch):
+                w, s, at = _window_places(r)
+                yield pa.RecordBatch.from_arrays([pa.array(w.span(at, at + length).view(np.int64)), pa.array(_before(w, s, at, r["same"]))], ["h", "left"])
 
     return run
 
 
-def maximal_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(group_id, n_words, n_occurrences, doc_ids, starts): every maximal repeat of at least ``length`` words.
+def _each(batch: pa.RecordBatch) -> Iterator[dict]:
+    for i in range(0, batch.num_rows, 100):
+        yield from batch.slice(i, 100).to_pylist()
+
+
+def _window_places(r: dict) -> tuple[Words, np.ndarray, np.ndarray]:
+    """A context's words, the starts of all windows through its places, and where these are among the words."""
+    w = Words([r["words"][:-1]])
+    shift = r["pos"][0] - int(np.searchsorted(w.start, r["right"][0]))
+    lo, hi = np.array(r["lo"], np.int64), np.array(r["hi"], np.int64)
+    s = np.unique(ranges(lo, hi - lo + 1))
+    return w, s, s - shift
+
+
+def _before(w: Words, s: np.ndarray, at: np.ndarray, same: bytes) -> np.ndarray:
+    """A hash of the word before each start; a text's begin differs from every word and every other text's."""
+    begin = mix(np.array([int.from_bytes(same[:8], "little") ^ 0xA5A5A5A5A5A5A5A5], U))
+    return np.where(s == 0, begin, w.h[np.maximum(at - 1, 0)]).view(np.int64)
+
+
+_STARTS = {"h": pa.int64(), "left": pa.int64(), "doc_id": pa.int64(), "same": pa.binary(), "copies": pa.int64(), "start": pa.int32(), "words": pa.binary()}
+STARTS = "h long, left long, doc_id long, same binary, copies long, start int, words binary"
+
+
+def _begins(length: int):
+    """All that follows each window's begin, for windows of hot anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in _each(batch):
+                w, s, at = _window_places(r)
+                raw = r["words"][:-1]
+                h, left = w.span(at, at + length).view(np.int64), _before(w, s, at, r["same"])
+                for a in range(0, len(s), 64):
+                    k = min(64, len(s) - a)
+                    cols = (h[a : a + k], left[a : a + k], [r["doc_id"]] * k, [r["same"]] * k, [r["copies"]] * k, s[a : a + k].astype(np.int32), [raw[x:] for x in w.start[at[a : a + k]].tolist()])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _STARTS.values())], list(_STARTS))
+
+    return run
+
+
+LEVEL = "id long, d int, next long, go boolean, left long, doc_id long, same binary, copies long, start int"
+
+
+def _levels(depth: int, step: int):
+    """Each place's first d words for d from ``depth`` on, ``step`` of them, and those at which the next round begins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, doc, same, copies, start, words = (batch.column(batch.schema.get_field_index(c)) for c in ("left", "doc_id", "same", "copies", "start", "words"))
+            for i, (raw, seed) in enumerate(zip(words.to_pylist(), seeds(same).tolist())):
+                w = Words([raw])
+                d = np.arange(depth, min(depth + step, w.n) + 1)
+                end = mix(np.array([seed ^ (start[i].as_py() + w.n) ^ 0x5A5A5A5A5A5A5A5A], U))  # the end differs from every word
+                nxt = np.append(w.h, end)[d]
+                one = pa.array(np.full(len(d), i))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(w.span(np.zeros(len(d), np.int64), d).view(np.int64)), pa.array(d.astype(np.int32)), pa.array(nxt.view(np.int64)), pa.array(d == depth + step), *(c.take(one) for c in (left, doc, same, copies, start))],
+                    ["id", "d", "next", "go", "left", "doc_id", "same", "copies", "start"],
+                )
+
+    return run
+
+
+def _hot_places(context: DataFrame, length: int, step: int = 32) -> DataFrame:
+    """The groups through hot anchors, without any group in one task.
+
+    Windows that differ in the word before them in several places begin a repeat. From each of their places the
+    tree goes down level by level: places with the same first d words make a node, which is a maximal repeat if
+    both neighbouring words differ. Nodes are counted by partial aggregation; only those with several places go on to
+    the next round of twice as many levels.
+    """
+    window = context.mapInArrow(_windows(length), "h long, left long").groupBy("h").agg(F.count("*").alias("n"), F.min("left").alias("l0"), F.max("left").alias("l1"))
+    begin = written(window.where("n > 1 and l0 <> l1").select("h"))
+    now = written(only(context.mapInArrow(_begins(length), STARTS), begin, "h").drop("h").dropDuplicates(["doc_id", "same", "start"]))
+    depth, out = length, []
+    while not now.isEmpty():
+        level = written(now.mapInArrow(_levels(depth, step), LEVEL))
+        node = level.where("not go").groupBy("id", "d").agg(
+            F.count("*").alias("n"), F.sum("copies").cast("long").alias("n_occurrences"), F.min(F.struct("doc_id", "start", "same")).alias("one"),
+            *(f(c).alias(f"{c}{i}") for c in ("left", "next") for i, f in enumerate((F.min, F.max))),
+        )
+        node = written(node.where("n > 1 and left0 <> left1 and next0 <> next1").select("id", "d", "n_occurrences", "one"))
+        first = F.struct("doc_id", "start", "same") == F.col("one")
+        out.append(level.where("not go").join(node, ["id", "d"]).select(F.col("id").alias("group_id"), F.col("d").alias("n_words"), "n_occurrences", "doc_id", "same", "copies", "start", first.alias("first")))
+        more = level.where("go").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+        key = written(level.where("go").join(more, "id", "left_semi").select("doc_id", "same", "start"))
+        now = written(now.join(key, ["doc_id", "same", "start"], "left_semi"))
+        depth, step = depth + step, step * 2
+    if not out:
+        return context.sparkSession.createDataFrame([], PLACE)
+    for x in out[1:]:
+        out[0] = out[0].unionByName(x)
+    return out[0]
+
+
+def places(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+    """A row for each place of each maximal repeat: (group_id, n_words, n_occurrences, doc_id, same, start, first)."""
+    base = slim(docs)
+    anchor = written(base.mapInArrow(anchor_rows(length), ANCHOR))
+    per = anchor.groupBy("fp").agg(F.count("*").alias("n"), (F.min("tag") != F.max("tag")).alias("starts")).where("n > 1")
+    per = written(per.select("fp", "starts", (F.col("starts") & (F.col("n") > hot)).alias("hot")))
+    member = written(anchor.select("doc_id", "same").distinct())
+    copy = written(classes(member))
+    extra = member.join(copy, "same").where("rep <> doc_id").select("doc_id", "same")
+    marks = (
+        anchor.join(per.select("fp", "starts"), "fp").join(extra, ["doc_id", "same"], "left_anti")
+        .groupBy("doc_id", "same").agg(F.collect_set(F.struct("fp", "pos", "lo", "hi", "starts")).alias("marks"))
+        .where(F.exists("marks", lambda m: m["starts"])).join(copy.select("same", F.col("n").alias("copies")), "same", "left")
+    )
+    marks = written(marks.select("doc_id", "same", "marks", F.coalesce("copies", F.lit(1)).alias("copies")))
+    ids = written(marks.select("doc_id").distinct())
+    context = only(base, ids, "doc_id").join(marks, ["doc_id", "same"]).select("doc_id", "text", "marks", "same", "copies").mapInArrow(_contexts(length), CONTEXT)
+    heads = written(per.where("hot").select("fp"))
+    if heads.isEmpty():
+        rest, far = context, None
+    else:
+        context = written(context)
+        rest, far = context.join(heads, "fp", "left_anti"), _hot_places(only(context, heads, "fp"), length)
+    tree = rest.repartition("fp").sortWithinPartitions("fp").mapInArrow(_groups(length), PLACE)
+    tree = written(tree if far is None else tree.unionByName(far))
+    reps = copy.select("same", F.col("rep").alias("doc_id"), F.col("n").alias("copies"))
+    whole = only(base, written(reps.select("doc_id").distinct()), "doc_id").join(reps, ["doc_id", "same"]).select("doc_id", "text", "same", "copies").mapInArrow(_whole(length), PLACE)
+    # Whole texts that occur within other texts, too, are in the tree with more places.
+    known = tree.where("copies > 1 and start = 0").select("group_id", "n_words").distinct()
+    every = tree.unionByName(whole.dropDuplicates(["group_id", "n_words"]).join(known, ["group_id", "n_words"], "left_anti").select(tree.columns))
+    cols = ["group_id", "n_words", "n_occurrences", "doc_id", "same", "start", "first"]
+    copied = every.where("copies > 1").join(member.withColumnRenamed("doc_id", "own"), "same").withColumn("first", F.col("first") & (F.col("own") == F.col("doc_id"))).drop("doc_id").withColumnRenamed("own", "doc_id")
+    return every.where("copies = 1").select(cols).unionByName(copied.select(cols))
+
+
+def maximal_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+    """(group_id, n_words, n_occurrences, doc_id, start): a row for each place of every maximal repeat of at least ``length`` words.
 
     A maximal repeat is a run of words that occurs at two places at least, of which not all have
     the same word before it and not all the same word after it; the ends of a text differ from
-    every word. A group lists all places where its words occur: doc_ids[i] with the word number
-    starts[i], in that order. Groups of one text's parts can overlap and nest, as the
+    every word. A group has all n_occurrences places where its words occur: in doc_id from word number
+    start on. Groups of one text's parts can overlap and nest, as the
     intervals of a suffix tree do. group_id is a hash of the words.
 
     Suffixes that could share ``length`` words meet by their winnowed anchor, which equal windows
@@ -324,37 +471,16 @@ def maximal_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     the enhanced suffix array is scanned with a stack, which gives the tree of common-prefix
     intervals, and intervals with one word only on the left are left out.
     Anchors at which no place differs on the left from another can't begin a maximal repeat,
-    and their text isn't shipped. Texts that are equal as a whole are sorted once and listed
-    in full.
+    and their text isn't shipped. An anchor of more than ``hot`` places doesn't go to one task: the same
+    tree is made for it level by level, see _hot_places; the groups are the same. Of texts that are equal as a
+    whole one is sorted; its places are then listed for each of its documents by a join.
 
-    Words are parted by ASCII white space; how much of it doesn't matter. Null and shorter texts
+    Words are parted by ASCII white space; how much of it doesn't matter. Null, empty and shorter texts
     have no repeats; rows with a null doc_id are left out. Places may overlap: n equal words in
     succession hold repeats of each length under n, so their places grow as n squared. A repeated doc_id
     is one document if its text is the same, else several that share the id. Other columns are ignored. No rows in: no rows out.
     """
-    base = slim(docs)
-    anchor = written(base.mapInArrow(anchor_rows(length), ANCHOR))
-    per = anchor.groupBy("fp").agg(F.count("*").alias("n"), F.min("tag").alias("t0"), F.max("tag").alias("t1")).where("n > 1").select("fp", (F.col("t0") != F.col("t1")).alias("starts"))
-    copy = written(classes(base))
-    extra = copy.select("same", "rep", F.explode("copies").alias("doc_id")).where("rep <> doc_id").select("doc_id", "same")
-    marks = (
-        anchor.join(per, "fp").join(extra, ["doc_id", "same"], "left_anti")
-        .groupBy("doc_id", "same").agg(F.collect_list(F.struct("fp", "pos", "lo", "hi", "starts")).alias("marks"))
-        .where(F.exists("marks", lambda m: m["starts"])).join(copy.select("same", F.col("rep").alias("doc_id"), "copies"), ["doc_id", "same"], "left")
-    )
-    marks = written(marks)
-    ids = written(marks.select("doc_id").distinct())
-    context = only(base, ids, "doc_id").join(marks, ["doc_id", "same"]).select("doc_id", "text", "marks", "copies").mapInArrow(_contexts(length), CONTEXT)
-    tree = context.repartition("fp").sortWithinPartitions("fp").mapInArrow(_groups(length), GROUP)
-    whole = copy.select("same", F.col("rep").alias("doc_id"), "copies")
-    same = only(base, written(whole.select("doc_id").distinct()), "doc_id").join(whole, ["doc_id", "same"]).select("text", "copies").mapInArrow(_whole(length), GROUP).dropDuplicates(["group_id", "n_words"])
-    return _merge(tree, same)
-
-
-def _merge(tree: DataFrame, same: DataFrame) -> DataFrame:
-    """Whole texts that occur within other texts, too, are in the tree with more places."""
-    tree, same = written(tree), written(same)
-    return tree.unionByName(same.join(tree.select("group_id", "n_words"), ["group_id", "n_words"], "left_anti").select(tree.columns))
+    return places(docs, length, hot).select("group_id", "n_words", "n_occurrences", "doc_id", "start")
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -366,7 +492,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = batch.schema.get_field_index("text")
         out = []
-        for text, spans in zip(texts(batch.column(at)), batch.column(batch.schema.get_field_index("__spans")).to_pylist()):
+        for text, spans in zip(texts(batch.column(at)), batch.column(batch.num_columns - 1).to_pylist()):
             if not spans:
                 out.append(text)
                 continue
@@ -384,14 +510,19 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each repeated passage the first place stays, by doc_id and position.
 
-    Texts keep all else, white space included; n_chars is counted again. A document of which
-    nothing is left goes. Documents without such a passage stay as they are.
+    Texts keep all else, white space included; n_chars, if there is one, is counted again for those that were cut. A document of which
+    nothing is left goes. All others stay as they are: those without such a passage, null and empty texts, null ids.
+    Texts that share a doc_id are told apart; repeated rows are cut alike. Columns named as this function's own
+    are safe. No rows in: no rows out.
     """
-    groups = maximal_repeats(docs)
-    place = F.arrays_zip(F.col("doc_ids").alias("doc"), F.col("starts").alias("start"))
-    later = groups.select("n_words", F.explode(F.slice(place, F.lit(2), F.col("n_occurrences"))).alias("p"))
-    longest = later.groupBy(F.col("p.doc").alias("__id"), F.col("p.start").alias("start")).agg(F.max(F.col("p.start") + F.col("n_words")).alias("stop"))  # covers all others from there
-    spans = longest.groupBy("__id").agg(F.collect_list(F.struct("start", "stop")).alias("__spans"))
-    cut = docs.join(written(spans), docs["doc_id"].cast("long") == F.col("__id"), "left").select(*docs.columns, "__spans")
-    out = cut.mapInArrow(_cut, docs.schema)
-    return out.where("text is null or text <> ''").withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    ident, same, cuts = free(docs, "id", "same", "cuts")
+    stop = F.col("start") + F.col("n_words")
+    longest = places(docs).where("not first").groupBy("doc_id", "same", "start").agg(F.max(stop).alias("stop"))  # covers all others from there
+    spans = written(longest.groupBy(F.col("doc_id").alias(ident), F.col("same").alias(same)).agg(F.collect_list(F.struct("start", "stop")).alias(cuts)))
+    ids = written(spans.select(ident, same))
+    keyed = docs.withColumns({ident: docs["doc_id"].cast("long"), same: F.unhex(F.md5(docs["text"]))})
+    rest = apart(keyed, ids, [ident, same]).select(docs.columns)
+    cut = only(keyed, ids, [ident, same]).join(spans, [ident, same]).select(*docs.columns, cuts).mapInArrow(_cut, docs.schema).where("text <> ''")
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rest.unionByName(cut)

@@ -10,11 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 _R, _S = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 _BYTE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**63, 256, dtype=np.uint64) | U(1)
-CHUNK = 2 << 20  # bytes of text hashed at once
+CHUNK = 512 << 10  # bytes of text hashed at once; the arrays take some twenty times that
 
 
 def _inverse(x: int) -> int:
@@ -101,18 +102,24 @@ class Words:
         return self.span(self.offset[:-1], self.offset[1:])
 
 
+def parts(size: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about ``most`` bytes each, or of one larger row."""
+    a = total = 0
+    for b, n in enumerate(size.tolist()):
+        if total and total + n > most:
+            yield a, b
+            a, total = b, 0
+        total += n
+    if a < len(size):
+        yield a, len(size)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with their squeezed texts, about CHUNK bytes each or one text."""
+    """Slices of the batches with their squeezed texts; only one slice at a time is turned into Python values."""
     for batch in batches:
-        docs = [squeeze(t) for t in texts(batch.column(batch.schema.get_field_index(column)))]
-        a = size = 0
-        for b, d in enumerate(docs):
-            if size and size + len(d) > CHUNK:
-                yield batch.slice(a, b - a), docs[a:b]
-                a, size = b, 0
-            size += len(d)
-        if a < len(docs):
-            yield batch.slice(a), docs[a:]
+        col = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary())
+        for a, b in parts(pc.fill_null(pc.binary_length(col), 0).to_numpy()):
+            yield batch.slice(a, b - a), [squeeze(t) for t in col.slice(a, b - a).to_pylist()]
 
 
 def ranges(lo: np.ndarray, n: np.ndarray) -> np.ndarray:

@@ -34,11 +34,17 @@ def brute(docs, length):
     return sorted((len(k), v) for k, v in found.items())
 
 
-def ours(spark, docs, length):
-    df = maximal_repeats(spark.createDataFrame(rows(docs), DOCS), length)
-    got = df.collect()
-    assert len({r.group_id for r in got}) == len(got)
-    return sorted((r.n_words, list(zip(r.doc_ids, r.starts))) for r in got)
+def grouped(df):
+    """(words, places) of each group; every row says how many there are."""
+    got = defaultdict(list)
+    for r in df.collect():
+        got[r.group_id].append(r)
+    assert all({(x.n_words, x.n_occurrences) for x in g} == {(g[0].n_words, len(g))} for g in got.values())
+    return sorted((g[0].n_words, sorted((x.doc_id, x.start) for x in g)) for g in got.values())
+
+
+def ours(spark, docs, length, hot=10_000):
+    return grouped(maximal_repeats(spark.createDataFrame(rows(docs), DOCS), length, hot))
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
@@ -62,16 +68,30 @@ def test_awkward_rows(spark):
     schema = DOCS + ", fp long, copies string"
     data = [(1, None, None, None, None, 1, "x"), (None, p, "en", "a", 3, 2, "y"), (2, "", "en", "a", 0, None, None), (3, p, None, "a", 9, 4, "z"), (4, "\n " + p.replace(" ", " \t", 3), "en", None, 1, 5, "z"), (4, "\n " + p.replace(" ", " \t", 3), "en", None, 1, 5, "z")]
     df = spark.createDataFrame(data, schema)
-    got = maximal_repeats(df, 20).collect()
-    assert [(r.n_words, list(r.doc_ids), list(r.starts)) for r in got] == [(60, [3, 4], [0, 0])]
+    for hot in (0, 10_000):
+        assert grouped(maximal_repeats(df, 20, hot)) == [(60, [(3, 0), (4, 0)])]
     empty = maximal_repeats(df.limit(0), 20)
-    assert empty.count() == 0 and empty.columns == ["group_id", "n_words", "n_occurrences", "doc_ids", "starts"]
+    assert empty.count() == 0 and empty.columns == ["group_id", "n_words", "n_occurrences", "doc_id", "start"]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_hot_anchors_give_the_same_groups(spark, seed):
+    docs = [*corpus(seed), (500, "b c " * 40), (501, "z " + "b c " * 30), (502, "z " + "b c " * 30)]
+    want = brute(docs, 20)
+    assert ours(spark, docs, 20, 0) == want
+    assert ours(spark, docs, 20, 3) == want
 
 
 def test_one_word_over_and_over(spark):
-    docs = [(1, "a " * 3000), (2, "b c " * 700), (3, "z " + "a " * 3000)]
-    df = maximal_repeats(spark.createDataFrame(rows(docs), DOCS), 20)
-    assert max(r.n_words for r in df.collect()) >= 2900
+    docs = [(1, "a " * 300), (2, "b c " * 70), (3, "z " + "a " * 300)]
+    assert ours(spark, docs, 20) == brute(docs, 20)
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(8)
+    words = [f"v{rng.randrange(10**6)}" for _ in range(30_000)]
+    docs = [(1, " ".join(words)), (2, " ".join(words[500:700])), (3, " ".join(["x", *words[20_000:]]))]
+    assert ours(spark, docs, 50) == [(200, [(1, 500), (2, 0)]), (10_000, [(1, 20_000), (3, 1)])]
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
@@ -129,3 +149,18 @@ def test_stack_scan():
     lcp = [2, 3, 3, 0, 1]
     got = sorted(intervals(lcp))
     assert got == [(0, 0, 5), (1, 4, 5), (2, 0, 3), (3, 1, 3)]
+
+
+def test_stage_leaves_awkward_rows_alone(spark):
+    rng = random.Random(10)
+    p, q = (" ".join(prose(rng, 60)) for _ in "pq")
+    schema = "doc_id int, text string, __id string, same int, start string"
+    data = [(1, p + " tail one", "a", 1, "b"), (2, p, "c", 2, "d"), (2, q, "e", 3, "f"), (3, "", "g", 4, "h"), (4, None, "i", 5, "j"), (None, p, "k", 6, "l"), (5, "  odd\n\n space ", "m", 7, "n"), (6, "x " + p + "\ty", "o", 8, "p"), (6, "x " + p + "\ty", "o", 8, "p")]
+    df = spark.createDataFrame(data, schema)
+    out = without_repeats(spark, df, "")
+    assert out.schema == df.schema
+    key = lambda t: [str(x) for x in t]
+    got = sorted(map(tuple, out.collect()), key=key)
+    want = [data[0], data[2], data[3], data[4], data[5], data[6], (6, "x\ty", "o", 8, "p"), (6, "x\ty", "o", 8, "p")]
+    assert got == sorted(want, key=key)
+    assert without_repeats(spark, df.limit(0), "").count() == 0
