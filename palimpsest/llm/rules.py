@@ -2,150 +2,147 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import only_few, written
+from .store import free, only_few, written
 
 BITS = 6  # a sketch keeps the leading BITS+1 binary digits: values within 1/64
-LEAST_ROWS = 50  # a smaller group takes the sketch of its language, then of all
-LEAST_WORDS = 20  # shares of fewer words say little
-# feature: (side, how many quartile distances beyond the quartile, least quartile distance)
+PRIOR = 50  # documents' worth of its language that each source's sketch is mixed with, and of all that each language's is
+FIXED = 1024  # counts are multiplied by it before they are mixed, and stay whole numbers
+DOUBT = 6.0  # natural logarithm of the odds against a document's passing the fence by chance
+# feature: (side, how many spreads beyond the quartile, of what it is a share or mean)
 RULES = {
-    "symbol_share": ("high", 20, 6),
-    "upper_share": ("high", 20, 6),
-    "repeat_share": ("high", 20, 6),
-    "bare_share": ("high", 20, 6),
-    "distinct_share": ("low", 4, 60),
-    "word_length": ("high", 20, 30),
+    "symbol_share": ("high", 8, "n_signs"),
+    "upper_share": ("high", 8, "n_signs"),
+    "repeat_share": ("high", 8, "n_words"),
+    "bare_share": ("high", 8, "n_words"),
+    "distinct_share": ("low", 3, "n_words"),
+    "word_length": ("high", 8, "n_words"),
 }
 SPACE = "[ \\t\\n\\r\\f\\x0B]+"
+GROUP = ["lang", "source"]
 
 
-def features() -> dict[str, Column]:
-    """Whole numbers, so that any two engines agree: shares in thousandths, word length in hundredths."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    words = F.filter(F.split(text, SPACE), lambda w: w != "")
-    return {
-        "__w": words,
-        "__chars": F.length(F.regexp_replace(text, "\\s", "")),
-        "__symbols": F.length(F.regexp_replace(text, "[\\p{L}\\p{N}\\s]", "")),
-        "__upper": F.length(F.regexp_replace(text, "[^\\p{Lu}]", "")),
-    }
+def _div(a: Column, b: Column) -> Column:
+    return F.call_function("div", a, b)
+
 
+def with_features(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a struct of n_words, n_signs and the features of RULES.
 
-def with_features(docs: DataFrame) -> DataFrame:
-    """``docs`` with n_words and the features of RULES added as one struct, ``__f``."""
-    x = docs.withColumns(features())
-    n, chars = F.size("__w"), F.greatest("__chars", F.lit(1))
-    again = F.size(F.filter(F.zip_with("__w", F.slice("__w", F.lit(2), F.greatest(n, F.lit(1))), lambda a, b: a == b), lambda e: e))
-    bare = F.size(F.filter("__w", lambda w: (F.length(w) <= 3) & ~F.rlike(w, F.lit("[\\p{L}\\p{N}]"))))  # a few symbols alone
+    Whole numbers, so that any two engines agree: shares in thousandths, word length in hundredths.
+    """
+    (raw,) = free(docs.withColumn(name, F.lit(0)), "raw")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    words = F.filter(F.split(text, SPACE), lambda w: w != "")
+    x = docs.withColumn(raw, F.struct(
+        words.alias("w"), F.length(F.regexp_replace(text, "\\s", "")).alias("chars"),
+        F.length(F.regexp_replace(text, "[\\p{L}\\p{N}\\s]", "")).alias("symbols"), F.length(F.regexp_replace(text, "[^\\p{Lu}]", "")).alias("upper"),
+    ))
+    w, chars = F.col(f"{raw}.w"), F.greatest(F.col(f"{raw}.chars"), F.lit(1))
+    n = F.size(w)
+    again = F.size(F.filter(F.zip_with(w, F.slice(w, F.lit(2), F.greatest(n, F.lit(1))), lambda a, b: a == b), lambda e: e))
+    bare = F.size(F.filter(w, lambda w: (F.length(w) <= 3) & ~F.rlike(w, F.lit("[\\p{L}\\p{N}]"))))  # a few symbols alone
 
     def per(a: Column, b: Column, k: int) -> Column:
-        return F.call_function("div", a.cast("long") * k, F.greatest(b.cast("long"), F.lit(1)))
+        return _div(a.cast("long") * k, F.greatest(b.cast("long"), F.lit(1)))
 
     f = F.struct(
-        n.cast("long").alias("n_words"),
-        per(F.col("__symbols"), chars, 1000).alias("symbol_share"),
-        per(F.col("__upper"), chars, 1000).alias("upper_share"),
-        per(again, n, 1000).alias("repeat_share"),
-        per(bare, n, 1000).alias("bare_share"),
-        per(F.size(F.array_distinct("__w")), n, 1000).alias("distinct_share"),
-        per(F.col("__chars"), n, 100).alias("word_length"),
-    )
-    return x.withColumn("__f", f).drop("__w", "__chars", "__symbols", "__upper")
+        n.cast("long").alias("n_words"), F.col(f"{raw}.chars").cast("long").alias("n_signs"),
+        per(F.col(f"{raw}.symbols"), chars, 1000).alias("symbol_share"), per(F.col(f"{raw}.upper"), chars, 1000).alias("upper_share"),
+        per(again, n, 1000).alias("repeat_share"), per(bare, n, 1000).alias("bare_share"),
+        per(F.size(F.array_distinct(w)), n, 1000).alias("distinct_share"), per(F.col(f"{raw}.chars"), n, 100).alias("word_length"),
+    )
+    return x.withColumn(name, f).drop(raw)
 
 
 def bucket(x: Column) -> Column:
     """The sketch's bucket of a value: its leading binary digits, the rest zero."""
     shift = F.greatest(F.length(F.bin(x)) - (BITS + 1), F.lit(0))
     power = F.pow(F.lit(2.0), shift).cast("long")
-    return F.call_function("div", x, power) * power
+    return _div(x, power) * power
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """(lang, source, feature, value, n): for each group a histogram over logarithmic buckets.
+def sketches(f: DataFrame) -> DataFrame:
+    """(lang, source, feature, value, n) of (lang, source, f): for each group a histogram over logarithmic buckets.
 
-    Sketches merge by adding n, with the same result in any order; a quantile read from
+    Of all documents with a word, however short. Sketches merge by adding n, with the same result in any order; a quantile read from
     one is within 1/2**BITS of the exact one.
     """
-    f = with_features(docs).where(F.col("__f.n_words") >= LEAST_WORDS)
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("feature"), bucket(F.col(f"__f.{k}")).alias("value")) for k in RULES)))
-    key = [F.coalesce(F.col(k), F.lit("")).alias(k) for k in ("lang", "source")]
-    return f.select(*key, each.alias("e")).groupBy("lang", "source", "e.feature", "e.value").agg(F.count("*").alias("n"))
-
-
-QUARTILES = """
-with s as (select * from {s}),
-merged as (
-  select 1 as level, lang, source, feature, value, n from s
-  union all select 2, lang, '', feature, value, sum(n) from s group by lang, feature, value
-  union all select 3, '', '', feature, value, sum(n) from s group by feature, value),
-run as (
-  select level, lang, source, feature, value,
-    sum(n) over (partition by level, lang, source, feature order by value) as up_to,
-    sum(n) over (partition by level, lang, source, feature) as total
-  from merged),
-q as (
-  select level, lang, source, feature, max(total) as total,
-    min(case when 4 * up_to >= total then value end) as q1,
-    min(case when 4 * up_to >= 3 * total then value end) as q3
-  from run group by level, lang, source, feature),
-r as (select * from (values {rules}) as r(feature, side, times, least)),
-fences as (
-  select level, lang, source, q.feature, total,
-    case when side = 'high' then q3 + times * greatest(q3 - q1, least) end as high,
-    case when side = 'low' then q1 - times * greatest(q3 - q1, least) end as low
-  from q join r on q.feature = r.feature),
-groups as (select distinct lang, source from s),
-chosen as (
-  select g.lang, g.source, f.feature, f.high, f.low,
-    row_number() over (partition by g.lang, g.source, f.feature order by f.level) as pick
-  from groups g join fences f on f.level = 3
-    or (f.level = 1 and f.lang = g.lang and f.source = g.source and f.total >= {least_rows})
-    or (f.level = 2 and f.lang = g.lang and f.total >= {least_rows}))
-select lang, source, {columns} from chosen where pick = 1 group by lang, source"""
-
-
-def _quartiles(s: str) -> str:
-    rules = ", ".join(f"('{k}', '{side}', {times}, {least})" for k, (side, times, least) in RULES.items())
-    columns = ", ".join(f"max(case when feature = '{k}' then {side} end) as {k}_{side}" for k, (side, _, _) in RULES.items())
-    return QUARTILES.format(s=s, rules=rules, columns=columns, least_rows=LEAST_ROWS)
-
-
-def thresholds(docs: DataFrame) -> DataFrame:
-    """(lang, source, and a threshold for each rule); written, a row for each group."""
-    spark = docs.sparkSession
-    return written(spark.sql(_quartiles("{s}"), s=written(sketches(docs))))
-
-
-def judged(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__f`` and ``__keep``."""
-    limit = thresholds(docs)
-    limit = limit.withColumnsRenamed({c: f"__{c}" for c in limit.columns})
-    key = [F.coalesce(F.col(a), F.lit("")) == F.col(f"__{a}") for a in ("lang", "source")]
-    x = with_features(docs).join(only_few(limit), key, "left")
-    ok = [F.col(f"__f.{k}") <= F.col(f"__{k}_high") if side == "high" else F.col(f"__f.{k}") >= F.col(f"__{k}_low") for k, (side, _, _) in RULES.items()]
-    good = F.lit(True)
-    for c in ok:
-        good = good & F.coalesce(c, F.lit(True))
-    n = F.col("__f.n_words")
-    return x.withColumn("__keep", (n > 0) & ((n < LEAST_WORDS) | good))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("feature"), bucket(F.col(f"f.{k}")).alias("value")) for k in RULES)))
+    key = [F.coalesce(F.col(k), F.lit("")).alias(k) for k in GROUP]
+    return f.where("f.n_words > 0").select(*key, each.alias("e")).groupBy("lang", "source", "e.feature", "e.value").agg(F.count("*").alias("n"))
+
+
+def _mixed(own: DataFrame, wider: DataFrame, key: list[str], up: list[str]) -> DataFrame:
+    """Each group's counts with PRIOR documents' worth of the wider group's: what a group lacks in rows it takes from there, by weight."""
+    share = wider.withColumn("share", F.floor(F.lit(float(PRIOR * FIXED)) * (F.col("n").cast("double") / F.sum("n").over(Window.partitionBy(*up, "feature")).cast("double"))).cast("long"))
+    every = own.select(*key, "feature").distinct().join(share.select(*up, "feature", "value", "share"), [*up, "feature"])
+    return every.join(own, [*key, "feature", "value"], "left").select(*key, "feature", "value", (F.coalesce("n", F.lit(0)) * FIXED + F.col("share")).alias("n"))
+
+
+def thresholds(f: DataFrame) -> DataFrame:
+    """(lang, source, and a fence for each rule); written, a row for each group.
+
+    The fence is so many spreads beyond the quartile of the group's mixed sketch. The spread is the distance of the
+    quartiles; where they coincide half that of the outer tenths, where these do, too, the mean.
+    """
+    own = written(sketches(f))
+    wide = own.groupBy("feature", "value").agg(F.sum("n").alias("n"))
+    lang = _mixed(own.groupBy("lang", "feature", "value").agg(F.sum("n").alias("n")), wide, ["lang"], [])
+    group = _mixed(own, written(lang), GROUP, ["lang"])
+    w = Window.partitionBy(*GROUP, "feature")
+    run = group.withColumn("up_to", F.sum("n").over(w.orderBy("value"))).withColumn("total", F.sum("n").over(w))
+    at = {name: F.min(F.when(F.col("up_to") * b >= F.col("total") * a, F.col("value"))).alias(name) for name, a, b in (("q10", 1, 10), ("q25", 1, 4), ("q75", 3, 4), ("q90", 9, 10))}
+    mean = F.floor(F.sum(F.col("value").cast("double") * F.col("n").cast("double")) / F.sum("n").cast("double")).cast("long")
+    q = run.groupBy(*GROUP, "feature").agg(*at.values(), mean.alias("mean"))
+    spread = F.when(F.col("q75") > F.col("q25"), F.col("q75") - F.col("q25")).when(_div(F.col("q90") - F.col("q10"), F.lit(2)) > 0, _div(F.col("q90") - F.col("q10"), F.lit(2))).otherwise(F.col("mean"))
+    fence = reduce(lambda a, k: a.when(F.col("feature") == k, F.col("q75") + RULES[k][1] * spread if RULES[k][0] == "high" else F.col("q25") - RULES[k][1] * spread), RULES, F)
+    return written(q.withColumn("fence", fence).groupBy(*GROUP).agg(*(F.max(F.when(F.col("feature") == k, F.col("fence"))).alias(k) for k in RULES)))
+
+
+def allowance(feature: str, fence: Column, n: Column) -> Column:
+    """How far a text of n units can be beyond the fence by chance (Bernstein's bound): the shorter, the farther.
+
+    A share has a binomial's variance, a mean word length is taken to have a Poisson's.
+    """
+    n = F.greatest(n, F.lit(1)).cast("double")
+    if feature == "word_length":
+        return F.sqrt(F.lit(200 * DOUBT) * F.greatest(fence, F.lit(0)).cast("double") / n) + F.lit(200 * DOUBT / 3) / n
+    p = F.least(F.greatest(fence, F.lit(0)), F.lit(1000)).cast("double") / 1000.0
+    return F.lit(1000.0) * (F.sqrt(F.lit(2 * DOUBT) * p * (F.lit(1.0) - p) / n) + F.lit(2 * DOUBT / 3) / n)
+
+
+def judged(featured: DataFrame, f: str, keep: str) -> DataFrame:
+    """``featured`` (lang, source, the struct ``f``; written) with the column ``keep``."""
+    limit = thresholds(featured.select(*GROUP, F.col(f).alias("f")))
+    t, kl, ks = free(featured.withColumn(keep, F.lit(0)), "t", "kl", "ks")
+    limit = limit.select(F.col("lang").alias(kl), F.col("source").alias(ks), F.struct(*RULES).alias(t))
+    key = [F.coalesce(featured["lang"], F.lit("")) == F.col(kl), F.coalesce(featured["source"], F.lit("")) == F.col(ks)]
+    good = F.col(f"{f}.n_words") > 0
+    for k, (side, _, of) in RULES.items():
+        x, fence, n = F.col(f"{f}.{k}").cast("double"), F.col(f"{t}.{k}"), F.col(f"{f}.{of}")
+        far = allowance(k, fence, n)
+        good = good & F.coalesce(x <= fence + far if side == "high" else x >= fence - far, F.lit(True))
+    return featured.join(only_few(limit), key, "left").withColumn(keep, good).drop(t, kl, ks)
 
 
 def passing(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, source, n_words and the features) of the documents that no rule rejects.
+    """(doc_id, lang, source, n_words, n_signs and the features) of the documents that no rule rejects.
 
-    Each rule compares a feature with a fence: so many quartile distances beyond the quartile
-    of the document's language and source. Quartiles come from mergeable logarithmic
-    histograms over all documents of LEAST_WORDS words; groups of under LEAST_ROWS such documents use the merged
-    sketch of their language, and languages of under LEAST_ROWS the one of all.
+    Each rule compares a feature with a fence that follows from the quantiles of the document's language and source:
+    see ``thresholds``. Quantiles come from mergeable logarithmic histograms over all documents; a small source's is
+    mixed with its language's, by weight, without a size at which that begins. A document is rejected if it lies so far beyond
+    the fence that chance can't explain it, which takes the more, the shorter it is; no length is exempt.
 
-    Null and wordless texts are rejected. Documents under LEAST_WORDS words pass. A null
-    language or source counts as the empty one. Where a group has no threshold, the rules
-    pass. Repeated rows are judged, and counted, each. Other columns are ignored. No rows in: no rows out.
+    Null and wordless texts are rejected. A null language or source counts as the empty one. Repeated rows are judged, and counted,
+    each. Very long texts are judged whole. Other columns are ignored, whatever their names. No rows in: no rows out.
     """
-    return judged(docs).where("__keep").select("doc_id", "lang", "source", "__f.*")
+    f = written(with_features(docs.select("doc_id", *GROUP, "text"), "f").drop("text"))
+    return judged(f, "f", "keep").where("keep").select("doc_id", *GROUP, "f.*")
 
 
 def op5_adaptive_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,8 +150,36 @@ def op5_adaptive_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that a rule rejects go."""
-    return judged(docs).where("__keep").select(*docs.columns)
+    """Pipeline stage: documents that ``passing`` rejects go, all others stay as they are, repeated rows too.
+
+    Null and wordless texts go; null ids, languages and sources don't matter. Any other columns stay. No rows in: no rows out.
+    """
+    f, keep = free(docs, "f", "keep")
+    return judged(written(with_features(docs, f)), f, keep).where(keep).select(*docs.columns)
+
+
+def _sql_fences() -> str:
+    """By correlated sums over the bucketed values, feature by feature: another way than the windows of ``thresholds``."""
+    return f"""
+own as (select kl, ks, feature, value, count(*) as n from bucketed group by all),
+everyone as (select feature, value, count(*) as n, floor({float(PRIOR * FIXED)}::double * (count(*)::double / (select count(*) from bucketed b where b.feature = a.feature)::double))::bigint as share from bucketed a group by feature, value),
+langs as (select k.kl, e.feature, e.value, {FIXED} * (select count(*) from bucketed b where b.kl = k.kl and b.feature = e.feature and b.value = e.value) + e.share as n from (select distinct kl from bucketed) k cross join everyone e),
+lang_share as (select kl, feature, value, floor({float(PRIOR * FIXED)}::double * (n::double / (select sum(n) from langs m where m.kl = l.kl and m.feature = l.feature)::double))::bigint as share from langs l),
+mixed as (select g.kl, g.ks, s.feature, s.value, {FIXED} * coalesce(o.n, 0) + s.share as n
+  from (select distinct kl, ks from bucketed) g join lang_share s on s.kl = g.kl left join own o on o.kl = g.kl and o.ks = g.ks and o.feature = s.feature and o.value = s.value),
+lists as (select kl, ks, feature, list(value order by value) as v, list(n order by value) as n, sum(n)::bigint as total, floor(sum(value::double * n::double) / sum(n)::double)::bigint as mean from mixed group by all),
+up as (select *, list_transform(n, lambda x, i: list_sum(n[1:i])::bigint) as c from lists),
+q as (select kl, ks, feature, mean, {", ".join(f"list_min(list_filter(v, lambda x, i: c[i] * {b} >= total * {a})) as {name}" for name, a, b in (("q10", 1, 10), ("q25", 1, 4), ("q75", 3, 4), ("q90", 9, 10)))} from up),
+spread as (select *, case when q75 <> q25 then q75 - q25 when (q90 - q10) // 2 <> 0 then (q90 - q10) // 2 else mean end as s from q),
+fence as (select kl, ks, {", ".join(f"any_value({f'q75 + {times} * s' if side == 'high' else f'q25 - {times} * s'}) filter (feature = '{k}') as {k}_fence" for k, (side, times, _) in RULES.items())} from spread group by all)"""
+
+
+def _sql_far(k: str, of: str) -> str:
+    n, fence = f"greatest({of}, 1)::double", f"{k}_fence"
+    if k == "word_length":
+        return f"sqrt({200 * DOUBT}::double * greatest({fence}, 0)::double / {n}) + {200 * DOUBT / 3}::double / {n}"
+    p = f"(least(greatest({fence}, 0), 1000)::double / 1000.0::double)"
+    return f"1000.0::double * (sqrt({2 * DOUBT}::double * {p} * (1.0::double - {p}) / {n}) + {2 * DOUBT / 3}::double / {n})"
 
 
 _FEATURES_SQL = """
@@ -165,7 +190,7 @@ words as (
     length(regexp_replace(coalesce(text, ''), '[^\\p{Lu}]', '', 'g')) as upper
   from documents),
 f as (
-  select doc_id, lang, source, coalesce(lang, '') as kl, coalesce(source, '') as ks, len(w)::bigint as n_words,
+  select doc_id, lang, source, coalesce(lang, '') as kl, coalesce(source, '') as ks, len(w)::bigint as n_words, chars::bigint as n_signs,
     1000 * symbols // greatest(chars, 1) as symbol_share,
     1000 * upper // greatest(chars, 1) as upper_share,
     1000 * len(list_filter(list_zip(w, w[2:]), lambda p: p[1] = p[2])) // greatest(len(w), 1) as repeat_share,
@@ -173,15 +198,13 @@ f as (
     1000 * len(list_distinct(w)) // greatest(len(w), 1) as distinct_share,
     100 * chars // greatest(len(w), 1) as word_length
   from words),
-long as (unpivot (select kl, ks, symbol_share, upper_share, repeat_share, bare_share, distinct_share, word_length from f where n_words >= 20)
+long as (unpivot (select kl, ks, symbol_share, upper_share, repeat_share, bare_share, distinct_share, word_length from f where n_words > 0)
   on symbol_share, upper_share, repeat_share, bare_share, distinct_share, word_length into name feature value x),
-sketch as (
-  select kl as lang, ks as source, feature, (x >> greatest(length(bin(x)) - 7, 0)) << greatest(length(bin(x)) - 7, 0) as value, count(*) as n
-  from long group by all)"""
+bucketed as (select kl, ks, feature, (x >> greatest(length(bin(x)) - 7, 0)) << greatest(length(bin(x)) - 7, 0) as value from long)"""
 
+_OK = " and ".join(f"{k}::double {'<=' if side == 'high' else '>='} {k}_fence {'+' if side == 'high' else '-'} ({_sql_far(k, of)})" for k, (side, _, of) in RULES.items())
 ORACLE = f"""
-with {_FEATURES_SQL},
-t as ({_quartiles("sketch")})
-select f.doc_id, f.lang, f.source, n_words, symbol_share, upper_share, repeat_share, bare_share, distinct_share, word_length
-from f left join t on f.kl = t.lang and f.ks = t.source
-where n_words > 0 and (n_words < {LEAST_WORDS} or ({" and ".join(f"coalesce({k} {'<=' if s == 'high' else '>='} {k}_{s}, true)" for k, (s, _, _) in RULES.items())}))"""
+with {_FEATURES_SQL}, {_sql_fences()}
+select f.doc_id, f.lang, f.source, n_words, n_signs, symbol_share, upper_share, repeat_share, bare_share, distinct_share, word_length
+from f join fence on f.kl = fence.kl and f.ks = fence.ks
+where n_words > 0 and {_OK}"""
