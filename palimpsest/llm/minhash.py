@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import only, written
+from .store import free, only, settle, written
 from .words import U, Words, chunks, mix, ranges, texts
 
-SHINGLE, SIDE, HASHES, LEAST = 3, 8, 2, 0.5
+SHINGLE, SIDE, HASHES, LEAST = 3, 11, 2, 0.5  # a pair at LEAST itself is found with probability 0.92
 
 
 def _shingles(docs: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,10 +97,42 @@ def _verify(least: float):
 
 
 def _check(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(a, b, jaccard, near) for the pairs (a, b)."""
-    one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(_verify(least), "a long, b long, jaccard double, near boolean")
+    """(a, b, jaccard, near) for the pairs (a, b); written. A document with several texts counts by the most alike."""
+    pairs = written(pairs.distinct())
+    some = only(sets, written(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()), "doc_id")
+    one = some.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
+    two = some.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+    each = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(_verify(least), "a long, b long, jaccard double, near boolean")
+    return written(each.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"), F.max("near").alias("near")))
+
+
+def _linked(member: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b, jaccard, near): pairs of each bucket's members (key, a, with the least of them as b) that hold all links in the bucket.
+
+    All are compared with the bucket's least. Jaccard distance obeys the triangle inequality: one at distance D from
+    the least and one at distance r can be alike only if r >= D - (1 - LEAST); such pairs are compared. Those unlike the least form the next
+    round's bucket, with a least of their own, until what is left of the buckets is small enough for all its pairs.
+    """
+    known, now, more, last = None, member, None, False
+    while True:
+        pairs = now.select("a", "b") if more is None else now.select("a", "b").unionByName(more)
+        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        found = _check(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"), sets, least)
+        known = found if known is None else known.unionByName(found)
+        if last:
+            return known
+        scored = written(now.join(known, ["a", "b"]).select("key", "a", "near", (1 - F.col("jaccard")).alias("d")))
+        far, like = scored.where("not near"), scored.where("near")
+        count = far.groupBy("key").agg(F.count("*").alias("n")).agg(F.sum("n").alias("rows"), F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2).alias("pairs")).first()
+        if not count["rows"]:
+            return known
+        more = far.select("key", "a", F.col("d").alias("far")).join(like.select("key", F.col("a").alias("b"), "d"), "key").where(F.col("d") >= F.col("far") - (1 - least) - 1e-9).select("a", "b")
+        last = count["pairs"] <= 4 * count["rows"]
+        if last:
+            now = far.select("key", "a").join(far.select("key", F.col("a").alias("b")), "key").where("a > b")
+        else:
+            now = far.select("key", "a").join(far.groupBy("key").agg(F.min("a").alias("b")), "key").where("a <> b")
+        now = written(now)
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, side: int = SIDE, hashes: int = HASHES, least: float = LEAST, seed: int = 7) -> DataFrame:
@@ -111,41 +143,34 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, side: int = SIDE
     tables that would need side**2 * 2*hashes of them if drawn apart. A pair of Jaccard
     similarity J meets with probability (1-(1-J**hashes)**side)**2.
 
-    In each table's bucket every member is compared with the least doc_id; members that fail it are
-    compared with all others of their bucket, so nothing is capped and groups are those of
-    all pairs in all buckets. Groups are connected components of the
-    verified pairs (Jaccard of word shingles >= least); the least doc_id stays. Identical texts count
+    Within a table's buckets no link is lost and nothing is capped, see ``_linked``. Groups are connected components of the
+    verified pairs (Jaccard of word shingles >= least); the least doc_id stays. Identical texts, by 128 bits of hash, count
     as one node and always group. ``jaccard`` is the exact similarity to the document that stays.
 
-    Null or wordless texts never group, rows with a null doc_id are left out; a repeated
-    doc_id counts once; texts shorter than a shingle group only with the same words.
-    Other columns are ignored. No rows in: no rows out.
+    Null or wordless texts never group, rows with a null doc_id are left out; repeated rows count once; a
+    doc_id with several texts is one document that is like another if any of its texts is (jaccard 1 where nothing else joins the two); texts shorter than a shingle group only with the same words.
+    Very long texts are taken whole. Other columns are ignored. No rows in: no rows out.
     """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    marked = slim.withColumn("same", F.xxhash64("text"))
-    sketch = written(marked.mapInArrow(_sketch(shingle, side, hashes, seed), "doc_id long, same long, keys array<long>"))
+    settle(docs.sparkSession)
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5("text")).alias("same"), "text").where("doc_id is not null and text is not null")
+    sketch = written(slim.mapInArrow(_sketch(shingle, side, hashes, seed), "doc_id long, same binary, keys array<long>"))
     # Identical texts: one of them stands for the class.
     classes = sketch.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
     keyed = classes.select("rep", F.explode("keys").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("rep").alias("b"), F.count("*").alias("n")).where("n > 1")
-    member = written(keyed.join(buckets.select("key", "b"), "key").where("rep <> b").select("key", F.col("rep").alias("a"), "b"))
-    stars = written(member.select("a", "b").distinct())
-    wanted = written(stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct())
-    sets = written(only(slim, wanted, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_sets(shingle), "doc_id long, shingles binary"))
-    first = written(_check(stars, sets, least))
-    # Who isn't like the bucket's least is compared with the whole bucket.
-    apart = member.join(first.where("not near").select("a", "b"), ["a", "b"]).select("key", F.col("a").alias("x"))
-    rest = apart.join(member.select("key", F.col("a").alias("y")), "key").where("x <> y")
-    rest = rest.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = _check(rest, sets, least)
-    known = written(first.unionByName(second))
-    root = components(known.where("near").select("a", "b"))
+    buckets = keyed.groupBy("key").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).where("b <> last")
+    member = written(keyed.join(buckets.select("key", "b"), "key").where("rep <> b").select("key", F.col("rep").alias("a"), "b").distinct())
+    wanted = written(member.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    sets = written(only(slim, wanted, "doc_id").mapInArrow(_sets(shingle), "doc_id long, shingles binary").distinct())
+    known = written(_linked(member, sets, least))
+    members = written(sketch.select("doc_id", "same").join(classes.select("same", "rep"), "same").select("doc_id", "rep").distinct())
+    several = members.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).where("b <> last").select("doc_id", "b")
+    also = members.join(several, "doc_id").select(F.col("rep").alias("a"), "b").where("a <> b")  # texts of one document belong together
+    root = written(components(known.where("near").select("a", "b").unionByName(also)))
     exact = written(root.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).join(known.select("a", "b", "jaccard"), ["a", "b"], "left"))
-    other = _check(exact.where("jaccard is null").select("a", "b"), sets, 0.0).select("a", "b", "jaccard")
-    score = exact.where("jaccard is not null").unionByName(other).select(F.col("a").alias("rep"), F.col("b").alias("root"), "jaccard")
-    members = sketch.select("doc_id", "same").join(classes.select("same", "rep"), "same").select("doc_id", "rep").distinct()
+    other = _check(exact.where("jaccard is null").select("a", "b"), sets, 0.0).select("a", "b", F.col("jaccard").alias("j"))
+    score = exact.join(other, ["a", "b"], "left").select(F.col("a").alias("rep"), F.col("b").alias("root"), F.coalesce("jaccard", "j", F.lit(1.0)).alias("jaccard"))
     out = members.join(score, "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("near_doc_id"), F.coalesce("jaccard", F.lit(1.0)).alias("jaccard"))
-    return out.where("doc_id <> near_doc_id")
+    return out.where("doc_id <> near_doc_id").groupBy("doc_id").agg(F.min_by(F.struct("near_doc_id", "jaccard"), F.struct("near_doc_id", -F.col("jaccard"))).alias("m")).select("doc_id", "m.*")
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,6 +178,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each near-duplicate group stays, all others as they are."""
-    gone = written(near_duplicates(docs).select("doc_id").distinct())
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    """Pipeline stage: one document of each near-duplicate group stays, all others as they are.
+
+    Null ids, null and wordless texts stay. All rows of a doc_id stay or go; rows of one that stays are not thinned. Any other columns stay. No rows in: no rows out.
+    """
+    (ident,) = free(docs, "id")
+    gone = written(near_duplicates(docs).select(F.col("doc_id").alias(ident)))
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[ident], "left_anti")

@@ -5,7 +5,7 @@ from itertools import combinations
 
 from corpus import DOCS, corpus, prose, rows
 
-from palimpsest.llm.minhash import near_duplicates, one_of_each
+from palimpsest.llm.minhash import _linked, near_duplicates, one_of_each
 
 
 def shingles(t, k=3):
@@ -72,3 +72,34 @@ def test_members_unlike_the_bucket_head_are_compared(spark):
     docs = [(1, " ".join(a)), (2, " ".join(base)), (3, " ".join(base[:190] + prose(rng, 10, 90000)))]
     got = [(r.doc_id, r.near_doc_id) for r in near_duplicates(spark.createDataFrame(rows(docs), DOCS), side=12, hashes=1, least=0.8).collect()]
     assert got == [(3, 2)]
+
+
+def test_several_texts_under_one_id(spark):
+    rng = random.Random(4)
+    p, q = (" ".join(prose(rng, 80, 9000)) for _ in "pq")
+    docs = [(1, p), (5, p + " more"), (5, q), (9, q + " less"), (7, "something else altogether here")]
+    got = sorted((r.doc_id, r.near_doc_id) for r in near_duplicates(spark.createDataFrame(rows(docs), DOCS)).collect())
+    assert got == [(5, 1), (9, 1)]
+
+
+def test_buckets_of_unlike_members_lose_no_link(spark):
+    """One key for all: clusters around many heads, and links across clusters that only the triangle inequality leaves to compare."""
+    rng = random.Random(21)
+    docs = []
+    for c in range(3):
+        base = prose(rng, 120, 10**6)
+        for _ in range(7):
+            d = list(base)
+            for _ in range(rng.randrange(1, 40)):
+                d[rng.randrange(len(d))] = f"y{rng.randrange(10**6)}"
+            docs.append(d)
+        docs.append(base[:70] + (docs[0][70:] if c else []))
+    rng.shuffle(docs)
+    sets = {i: shingles(" ".join(d)) for i, d in enumerate(docs)}
+    member = spark.createDataFrame([(1, i, 0) for i in range(1, len(docs))], "key long, a long, b long")
+    bytes_of = {t: (hash(t) & (2**63 - 1)) for s in sets.values() for t in s}
+    table = spark.createDataFrame([(i, b"".join(x.to_bytes(8, "little") for x in sorted(bytes_of[t] for t in s))) for i, s in sets.items()], "doc_id long, shingles binary")
+    found = [(r.a, r.b) for r in _linked(member, table, 0.5).where("near").collect()]
+    want = [(a, b) for a, b in combinations(sorted(sets), 2) if jaccard(sets[a], sets[b]) >= 0.5]
+    assert groups(found, sets) == groups(want, sets)
+    assert len(found) < len(docs) * (len(docs) - 1) / 4
