@@ -14,9 +14,9 @@ from .store import apart, free, only, settle, written
 from .words import U, Words, anchors, chunks, mix, ranges, squeeze, texts
 
 LENGTH = 50  # words
-HOT = 10_000  # places of an anchor, from which on its tree is made level by level over all tasks
+HOT = 10_000  # texts with an anchor, from which on its tree is made level by level over all tasks
 AT_ONCE = 16 << 20  # bytes of words that the places of one anchor may hold when sorted
-PLACE = "group_id long, n_words int, n_occurrences long, doc_id long, same binary, copies long, start int, first boolean"
+PLACE = "group_id long, n_words int, n_occurrences long, doc_id long, same binary, copies long, start int, period int, times int, first boolean"
 
 
 def seeds(same: pa.Array) -> np.ndarray:
@@ -31,15 +31,19 @@ def anchor_rows(length: int):
         for batch, docs in chunks(batches):
             a = anchors(Words(docs), length, seeds(batch.column(1)).view(np.int64))
             at = pa.array(a["doc"])
+            order = np.lexsort((a["fp"], a["doc"]))
+            d, f = a["doc"][order], a["fp"][order]
+            lead = np.zeros(len(d), np.int32)
+            lead[order] = np.append(True, (d[1:] != d[:-1]) | (f[1:] != f[:-1]))[: len(d)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), *(pa.array(a[x].astype(np.int32)) for x in ("pos", "lo", "hi")), pa.array(a["fp"]), pa.array(a["tag"])],
-                ["doc_id", "same", "pos", "lo", "hi", "fp", "tag"],
+                [batch.column(0).take(at), batch.column(1).take(at), *(pa.array(a[x].astype(np.int32)) for x in ("pos", "lo", "hi")), pa.array(a["fp"]), pa.array(a["tag"]), pa.array(lead)],
+                ["doc_id", "same", "pos", "lo", "hi", "fp", "tag", "lead"],
             )
 
     return run
 
 
-ANCHOR = "doc_id long, same binary, pos int, lo int, hi int, fp long, tag long"
+ANCHOR = "doc_id long, same binary, pos int, lo int, hi int, fp long, tag long, lead int"  # lead: 1 for a text's first place of the anchor
 
 
 def slim(docs: DataFrame) -> DataFrame:
@@ -143,37 +147,58 @@ def intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append((x, first))
 
 
-_PLACE = {"group_id": pa.int64(), "n_words": pa.int32(), "n_occurrences": pa.int64(), "doc_id": pa.int64(), "same": pa.binary(), "copies": pa.int64(), "start": pa.int32(), "first": pa.bool_()}
+_PLACE = {"group_id": pa.int64(), "n_words": pa.int32(), "n_occurrences": pa.int64(), "doc_id": pa.int64(), "same": pa.binary(), "copies": pa.int64(), "start": pa.int32(), "period": pa.int32(), "times": pa.int32(), "first": pa.bool_()}
+
+
+def runs(text: np.ndarray, start: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the first, period, times): places in order of text and start as arithmetic progressions.
+
+    Only places of one text that follow at the same distance, of ``n`` words at most, become one run: those of a
+    passage that is said over and over. Others are runs of one place with period 0.
+    """
+    m = len(start)
+    gap = np.where((text[1:] == text[:-1]) & (start[1:] - start[:-1] <= n), start[1:] - start[:-1], 0)
+    if not gap.any():
+        return np.arange(m), np.zeros(m, np.int64), np.ones(m, np.int64)
+    begin, period, times = [], [], []
+    i = 0
+    edge = np.append(np.flatnonzero(gap[1:] != gap[:-1]) + 1, len(gap))  # where the next stretch of equal gaps begins
+    while i < m:
+        j = int(edge[np.searchsorted(edge, i, side="right")]) if i < len(gap) and gap[i] else i
+        begin.append(i)
+        period.append(int(gap[i]) if j > i else 0)
+        times.append(j - i + 1)
+        i = j + 1
+    return np.array(begin), np.array(period), np.array(times)
 
 
 class _Found:
-    """Places of the groups found, a row for each."""
+    """Runs of places of the groups found, a row for each."""
 
     def __init__(self) -> None:
         self.groups: list[tuple[int, int, int]] = []  # id, words, occurrences
         self.n: list[int] = []
-        self.doc: list[np.ndarray] = []
-        self.start: list[np.ndarray] = []
-        self.copies: list[np.ndarray] = []
-        self.same: list[list[bytes]] = []
-        self.first: list[np.ndarray] = []
+        self.columns: list[list[np.ndarray]] = [[] for _ in range(6)]  # doc, copies, start, period, times, first
+        self.same: list[bytes] = []
         self.size = 0
 
-    def add(self, ident: int, n: int, doc: np.ndarray, start: np.ndarray, copies: np.ndarray, same: list[bytes]) -> None:
-        first = np.zeros(len(doc), bool)
-        first[np.lexsort((start, doc))[0]] = True
+    def add(self, ident: int, n: int, text: np.ndarray, doc: np.ndarray, start: np.ndarray, copies: np.ndarray, same: list[bytes]) -> None:
+        """Places in order of doc, text and start; same[text] is the text's hash."""
+        i, period, times = runs(text, start, n)
+        first = np.zeros(len(i), bool)
+        first[0] = True
         self.groups.append((ident, n, int(copies.sum())))
-        self.n.append(len(doc))
-        for x, y in zip((self.doc, self.start, self.copies, self.same, self.first), (doc, start, copies, same, first)):
+        self.n.append(len(i))
+        for x, y in zip(self.columns, (doc[i], copies[i], start[i], period, times, first)):
             x.append(y)
-        self.size += len(doc)
+        self.same += [same[t] for t in text[i].tolist()]
+        self.size += len(i)
 
     def batch(self) -> pa.RecordBatch:
         g = np.array(self.groups, np.int64).reshape(-1, 3)
         each = [np.repeat(g[:, i], np.array(self.n, np.int64)) for i in range(3)]
-        flat = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (self.doc, self.copies, self.start, self.first)]
-        same = [b for x in self.same for b in x]
-        cols = (*each, flat[0], same, flat[1], flat[2], flat[3])
+        doc, *rest = [np.concatenate(x) if x else np.empty(0, np.int64) for x in self.columns]
+        cols = (*each, doc, self.same, *rest)
         out = pa.RecordBatch.from_arrays([pa.array(c if isinstance(c, list) else c.astype(t.to_pandas_dtype()), t) for c, t in zip(cols, _PLACE.values())], list(_PLACE))
         self.__init__()
         return out
@@ -224,11 +249,17 @@ def _bucket(rows: list[dict], length: int, found: _Found, limit: int = AT_ONCE)
     pos = np.array([r["pos"] for r in rows], np.int64)
     docs = np.array([p[2] for p in kept], np.int64)
     copies = np.array([p[7] for p in kept], np.int64)
-    texts_of = [p[8] for p in kept]
+    known: dict[tuple, int] = {}
+    text = np.array([known.setdefault((p[2], p[8]), len(known)) for p in kept], np.int64)
+    texts_of = [t[1] for t in known]
+    order = np.lexsort((pos, text, docs))  # whatever the words on the left, places keep this order
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    text, docs_in, pos_in, copies_in = text[order], docs[order], pos[order], copies[order]
     nearest = [r["pos"] - r["hi"] for r in rows]
     hashed: dict[int, Words] = {}
 
-    def put(o: int, value: int, at: list[int]) -> None:
+    def put(o: int, value: int, at: np.ndarray) -> None:
         words, right_at = kept[at[0]][:2]
         w = hashed.get(id(words))
         if w is None:
@@ -236,9 +267,9 @@ def _bucket(rows: list[dict], length: int, found: _Found, limit: int = AT_ONCE)
                 hashed.clear()
             w = hashed[id(words)] = Words([words[:-1]])
         x = int(np.searchsorted(w.start, right_at))
-        idx = np.array(at)
+        idx = np.sort(place[at])
         ident = w.span(np.array([x - o]), np.array([x + value])).view(np.int64)[0]
-        found.add(int(ident), o + value, docs[idx], pos[idx] - o, copies[idx], [texts_of[i] for i in at])
+        found.add(int(ident), o + value, text[idx], docs_in[idx], pos_in[idx] - o, copies_in[idx], texts_of)
 
     todo: list[tuple[int, list[int]]] = [(0, list(range(n)))]  # words to the left, places that share them
     while todo:
@@ -261,6 +292,7 @@ def _bucket(rows: list[dict], length: int, found: _Found, limit: int = AT_ONCE)
             key = w[-1 - o] if o < len(w) else (None, j)
             label.append(kinds.setdefault(key, len(kinds)))
         if len(kinds) > 1:
+            here = np.array(at)
             pairs = [lcp[x] if y == x + 1 else min(lcp[x:y]) for x, y in zip(at, at[1:])]
             differs = [0] * len(at)  # the next place with another word on the left
             nxt = len(at)
@@ -271,7 +303,7 @@ def _bucket(rows: list[dict], length: int, found: _Found, limit: int = AT_ONCE)
             for value, a, b in intervals(pairs):
                 r = rows[at[a]]
                 if o + value >= length and differs[a] <= b and r["pos"] - r["hi"] <= o <= r["pos"] - r["lo"]:
-                    put(o, value, at[a : b + 1])
+                    put(o, value, here[a : b + 1])
                     if found.size > 50_000:
                         yield found.batch()
         if len(kinds) < len(at):
@@ -309,7 +341,7 @@ def _whole(length: int):
             at = pa.array(np.flatnonzero(w.count >= length))
             n = w.count[at.to_numpy()]
             doc, same, copies = (batch.column(i).take(at) for i in (0, 2, 3))
-            yield pa.RecordBatch.from_arrays([pa.array(w.whole()[at.to_numpy()].view(np.int64)), pa.array(n.astype(np.int32)), copies, doc, same, copies, pa.array(np.zeros(len(n), np.int32)), pa.array(np.ones(len(n), bool))], list(_PLACE))
+            yield pa.RecordBatch.from_arrays([pa.array(w.whole()[at.to_numpy()].view(np.int64)), pa.array(n.astype(np.int32)), copies, doc, same, copies, *(pa.array(np.full(len(n), x, np.int32)) for x in (0, 0, 1)), pa.array(np.ones(len(n), bool))], list(_PLACE))
 
     return run
 
@@ -390,6 +422,18 @@ def _levels(depth: int, step: int):
     return run
 
 
+def _as_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in _each(batch):
+            start = np.sort(np.array(r["starts"], np.int64))
+            i, period, times = runs(np.zeros(len(start), np.int64), start, r["n_words"])
+            m = len(i)
+            one = r["one"]
+            first = start[i] == one["start"] if (one["doc_id"], one["same"]) == (r["doc_id"], r["same"]) else np.zeros(m, bool)
+            cols = (*([r[c]] * m for c in ("group_id", "n_words", "n_occurrences", "doc_id", "same", "copies")), start[i], period, times, first)
+            yield pa.RecordBatch.from_arrays([pa.array(c if isinstance(c, list) else c.astype(t.to_pandas_dtype()), t) for c, t in zip(cols, _PLACE.values())], list(_PLACE))
+
+
 def _hot_places(context: DataFrame, length: int, step: int = 32) -> DataFrame:
     """The groups through hot anchors, without any group in one task.
 
@@ -405,12 +449,14 @@ def _hot_places(context: DataFrame, length: int, step: int = 32) -> DataFrame:
     while not now.isEmpty():
         level = written(now.mapInArrow(_levels(depth, step), LEVEL))
         node = level.where("not go").groupBy("id", "d").agg(
-            F.count("*").alias("n"), F.sum("copies").cast("long").alias("n_occurrences"), F.min(F.struct("doc_id", "start", "same")).alias("one"),
+            F.count("*").alias("n"), F.sum("copies").cast("long").alias("n_occurrences"), F.min(F.struct("doc_id", "same", "start")).alias("one"),
             *(f(c).alias(f"{c}{i}") for c in ("left", "next") for i, f in enumerate((F.min, F.max))),
         )
         node = written(node.where("n > 1 and left0 <> left1 and next0 <> next1").select("id", "d", "n_occurrences", "one"))
-        first = F.struct("doc_id", "start", "same") == F.col("one")
-        out.append(level.where("not go").join(node, ["id", "d"]).select(F.col("id").alias("group_id"), F.col("d").alias("n_words"), "n_occurrences", "doc_id", "same", "copies", "start", first.alias("first")))
+        each = level.where("not go").join(node, ["id", "d"]).groupBy(F.col("id").alias("group_id"), F.col("d").alias("n_words"), "doc_id", "same").agg(
+            F.first("n_occurrences").alias("n_occurrences"), F.first("copies").alias("copies"), F.first("one").alias("one"), F.collect_list("start").alias("starts")
+        )
+        out.append(each.select("group_id", "n_words", "n_occurrences", "doc_id", "same", "copies", "one", "starts").mapInArrow(_as_runs, PLACE))
         more = level.where("go").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
         key = written(level.where("go").join(more, "id", "left_semi").select("doc_id", "same", "start"))
         now = written(now.join(key, ["doc_id", "same", "start"], "left_semi"))
@@ -423,11 +469,11 @@ def _hot_places(context: DataFrame, length: int, step: int = 32) -> DataFrame:
 
 
 def places(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """A row for each place of each maximal repeat: (group_id, n_words, n_occurrences, doc_id, same, start, first)."""
+    """A row for each run of places of each maximal repeat: the columns of ``maximal_repeats``, the text's hash, whether the group's first place is in it."""
     base = slim(docs)
     anchor = written(base.mapInArrow(anchor_rows(length), ANCHOR))
-    per = anchor.groupBy("fp").agg(F.count("*").alias("n"), (F.min("tag") != F.max("tag")).alias("starts")).where("n > 1")
-    per = written(per.select("fp", "starts", (F.col("starts") & (F.col("n") > hot)).alias("hot")))
+    per = anchor.groupBy("fp").agg(F.count("*").alias("n"), F.sum("lead").alias("texts"), (F.min("tag") != F.max("tag")).alias("starts")).where("n > 1")
+    per = written(per.select("fp", "starts", (F.col("starts") & (F.col("texts") > hot)).alias("hot")))
     member = written(anchor.select("doc_id", "same").distinct())
     copy = written(classes(member))
     extra = member.join(copy, "same").where("rep <> doc_id").select("doc_id", "same")
@@ -452,18 +498,19 @@ def places(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     # Whole texts that occur within other texts, too, are in the tree with more places.
     known = tree.where("copies > 1 and start = 0").select("group_id", "n_words").distinct()
     every = tree.unionByName(whole.dropDuplicates(["group_id", "n_words"]).join(known, ["group_id", "n_words"], "left_anti").select(tree.columns))
-    cols = ["group_id", "n_words", "n_occurrences", "doc_id", "same", "start", "first"]
+    cols = ["group_id", "n_words", "n_occurrences", "doc_id", "same", "start", "period", "times", "first"]
     copied = every.where("copies > 1").join(member.withColumnRenamed("doc_id", "own"), "same").withColumn("first", F.col("first") & (F.col("own") == F.col("doc_id"))).drop("doc_id").withColumnRenamed("own", "doc_id")
     return every.where("copies = 1").select(cols).unionByName(copied.select(cols))
 
 
 def maximal_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """(group_id, n_words, n_occurrences, doc_id, start): a row for each place of every maximal repeat of at least ``length`` words.
+    """(group_id, n_words, n_occurrences, doc_id, start, period, times): all places of every maximal repeat of at least ``length`` words.
 
     A maximal repeat is a run of words that occurs at two places at least, of which not all have
     the same word before it and not all the same word after it; the ends of a text differ from
-    every word. A group has all n_occurrences places where its words occur: in doc_id from word number
-    start on. Groups of one text's parts can overlap and nest, as the
+    every word. A group has all n_occurrences places where its words occur: in doc_id from the words number
+    start, start + period and so on, ``times`` of them. A row has one place, unless a text says a passage over and over:
+    places at equal distances of n_words at most are one row, so that rows don't grow as the square of such a text. Groups of one text's parts can overlap and nest, as the
     intervals of a suffix tree do. group_id is a hash of the words.
 
     Suffixes that could share ``length`` words meet by their winnowed anchor, which equal windows
@@ -471,7 +518,7 @@ def maximal_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Da
     the enhanced suffix array is scanned with a stack, which gives the tree of common-prefix
     intervals, and intervals with one word only on the left are left out.
     Anchors at which no place differs on the left from another can't begin a maximal repeat,
-    and their text isn't shipped. An anchor of more than ``hot`` places doesn't go to one task: the same
+    and their text isn't shipped. An anchor of more than ``hot`` texts doesn't go to one task: the same
     tree is made for it level by level, see _hot_places; the groups are the same. Of texts that are equal as a
     whole one is sorted; its places are then listed for each of its documents by a join.
 
@@ -480,7 +527,7 @@ def maximal_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Da
     succession hold repeats of each length under n, so their places grow as n squared. A repeated doc_id
     is one document if its text is the same, else several that share the id. Other columns are ignored. No rows in: no rows out.
     """
-    return places(docs, length, hot).select("group_id", "n_words", "n_occurrences", "doc_id", "start")
+    return places(docs, length, hot).select("group_id", "n_words", "n_occurrences", "doc_id", "start", "period", "times")
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -516,8 +563,9 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     are safe. No rows in: no rows out.
     """
     ident, same, cuts = free(docs, "id", "same", "cuts")
-    stop = F.col("start") + F.col("n_words")
-    longest = places(docs).where("not first").groupBy("doc_id", "same", "start").agg(F.max(stop).alias("stop"))  # covers all others from there
+    stop = F.col("start") + F.col("period") * (F.col("times") - 1) + F.col("n_words")
+    later = places(docs).where("not first or times > 1").withColumn("stop", stop).withColumn("start", F.when(F.col("first"), F.col("start") + F.col("period")).otherwise(F.col("start")))
+    longest = later.groupBy("doc_id", "same", "start").agg(F.max("stop").alias("stop"))  # covers all others from there
     spans = written(longest.groupBy(F.col("doc_id").alias(ident), F.col("same").alias(same)).agg(F.collect_list(F.struct("start", "stop")).alias(cuts)))
     ids = written(spans.select(ident, same))
     keyed = docs.withColumns({ident: docs["doc_id"].cast("long"), same: F.unhex(F.md5(docs["text"]))})

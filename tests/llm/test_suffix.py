@@ -38,9 +38,10 @@ def grouped(df):
     """(words, places) of each group; every row says how many there are."""
     got = defaultdict(list)
     for r in df.collect():
-        got[r.group_id].append(r)
-    assert all({(x.n_words, x.n_occurrences) for x in g} == {(g[0].n_words, len(g))} for g in got.values())
-    return sorted((g[0].n_words, sorted((x.doc_id, x.start) for x in g)) for g in got.values())
+        assert r.times == 1 and r.period == 0 or r.times > 1 and 0 < r.period <= r.n_words
+        got[r.group_id, r.n_words, r.n_occurrences] += [(r.doc_id, r.start + i * r.period) for i in range(r.times)]
+    assert len({g for g, _, _ in got}) == len(got) and all(n == len(g) for (_, _, n), g in got.items())
+    return sorted((n, sorted(g)) for (_, n, _), g in got.items())
 
 
 def ours(spark, docs, length, hot=10_000):
@@ -71,7 +72,7 @@ def test_awkward_rows(spark):
     for hot in (0, 10_000):
         assert grouped(maximal_repeats(df, 20, hot)) == [(60, [(3, 0), (4, 0)])]
     empty = maximal_repeats(df.limit(0), 20)
-    assert empty.count() == 0 and empty.columns == ["group_id", "n_words", "n_occurrences", "doc_id", "start"]
+    assert empty.count() == 0 and empty.columns == ["group_id", "n_words", "n_occurrences", "doc_id", "start", "period", "times"]
 
 
 @pytest.mark.parametrize("seed", [1, 2])
