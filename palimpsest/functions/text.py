@@ -7,22 +7,18 @@ from pyspark.sql import functions as F
 
 from .stem import stemmed
 
-# Words that carry no topic. Kept in order of length, then backwards in the alphabet.
-KEYWORD_STOPS = """i a we up to so on of no my me it is in he by be at as an am you why who was too the she our out own off now nor not
-may its his how him her has had few for don did can but are and all your will with when were what very than then they this that such
-some same same over only once more most must just like into here have even each down does been both also about above after again
-being below could doing every might never other shall since there under until where which while would before during should myself
-because between further through""".split()
-KEYWORD_STOPS = [w for w in dict.fromkeys(KEYWORD_STOPS) if w not in ("never", "since", "until", "while")]
-FACT_STOPS = """d s t a i ll re ve we us me my no on of or if it is in he his her an as at be by do to you why who who was the she our
-not may its how had has for did can but are and your will with when what were whom they them this that then have into does been
-about being could might shall these their those where which would should""".split()
-FACT_STOPS = [w for w in dict.fromkeys(FACT_STOPS) if w != "us"]
-TERM_STOPS = """i a we us up to so or on of no my me it is in if he go do by be at as an you who way was use two the she see say our
-out one now not new its him his her how has had get for did day can but any and are all your year work with will what were when
-well want time this that then them they than think take some same out over only no most make look like know just into have give
-good from even does come been back also about after could first other people their there these think would which because""".split()
-TERM_STOPS = [w for w in dict.fromkeys(TERM_STOPS) if w != "same"]
+# Words that carry no topic, in alphabetical order.
+KEYWORD_STOPS = """a about above after again all also am an and are as at be because been before being below between both but by can could did does doing don
+down during each even every few for from further had has have he her here him his how i in into is it its just like may me might more most
+must my myself no nor not now of off on once only other our out over own same shall she should so some such than that the then there they
+this through to too under up very was we were what when where which who why will with would you your""".split()
+FACT_STOPS = """a about an and are as at be been being but by can could d did do does for from had has have he her his how i if in into is it its ll may me
+might my no not of on or our re s shall she should t that the their them then these they this those to ve was we were what when where which
+who whom why will with would you your""".split()
+TERM_STOPS = """a about after all also an and any are as at back be because been but by can come could day did do does even first for from get give go good
+had has have he her him his how i if in into is it its just know like look make me most my new no not now of on one only or other our out
+over people say see she so some take than that the their them then there these they think this time to two up us use want was way we well
+were what when which who will with work would year you your""".split()
 _SPACE = "(?U)\\s+"
 
 
@@ -30,24 +26,24 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, _SPACE), lambda w: w != "")
 
 
+WORD = "(?U)[\\p{L}\\p{N}](?:\\S*[\\p{L}\\p{N}])?"  # what is left of a word without other characters at its ends
+
+
 def bm25_tokens(text: Column, stem: bool = True) -> Column:
     """Lower-case words with other characters trimmed from both ends, of 2 to 50 bytes, no stop words, stemmed."""
-    stops = F.array(*map(F.lit, KEYWORD_STOPS))
-    bare = F.transform(words(F.lower(text)), lambda w: F.regexp_replace(w, "^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$", ""))
-    kept = F.filter(bare, lambda w: F.octet_length(w).between(2, 50) & ~F.array_contains(stops, w))
+    bare = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    kept = F.filter(bare, lambda w: F.octet_length(w).between(2, 50) & ~w.isin(KEYWORD_STOPS))
     return stemmed(kept) if stem else kept
 
 
 def terms(text: Column) -> Column:
     """The distinct lower-case words of more than two bytes that aren't stop words."""
-    stops = F.array(*map(F.lit, TERM_STOPS))
-    return F.array_distinct(F.filter(words(F.lower(text)), lambda w: (F.octet_length(w) > 2) & ~F.array_contains(stops, w)))
+    return F.array_distinct(F.filter(words(F.lower(text)), lambda w: (F.octet_length(w) > 2) & ~w.isin(TERM_STOPS)))
 
 
 def fact_words(text: Column, stem: bool = True) -> Column:
     """The distinct words compared between a query and a fact."""
-    stops = F.array(*map(F.lit, FACT_STOPS))
-    kept = F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: (F.octet_length(w) > 1) & ~F.array_contains(stops, w))
+    kept = F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: (F.octet_length(w) > 1) & ~w.isin(FACT_STOPS))
     return F.array_distinct(stemmed(kept) if stem else kept)
 
 

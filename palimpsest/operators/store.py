@@ -22,6 +22,19 @@ def micros(df: DataFrame, column: str) -> Column:
     return F.unix_micros(column)
 
 
+def ranked(df: DataFrame, at: str) -> DataFrame:
+    """``df`` with its place by falling ``at`` and rising id (rank, from 1), and the number of rows (n).
+
+    Hours are counted and summed up, rows ranked within their hour: no task sorts the whole table.
+    """
+    x = df.withColumn("__hour", F.date_trunc("hour", at))
+    hours = x.groupBy("__hour").agg(F.count("*").alias("__c"))
+    before = F.coalesce(F.sum("__c").over(Window.orderBy(F.desc_nulls_last("__hour")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offset = hours.select("__hour", before.alias("__before"), F.sum("__c").over(Window.partitionBy()).alias("n"))  # a row an hour
+    place = F.row_number().over(Window.partitionBy("__hour").orderBy(F.desc(at), "id"))
+    return x.withColumn("__r", place).join(offset.withColumnRenamed("__hour", "__h"), F.col("__hour").eqNullSafe(F.col("__h"))).select(*df.columns, (F.col("__before") + F.col("__r")).alias("rank"), "n")
+
+
 def condition(f: dict) -> Column:
     """One filter, as {field, op, value} or {field, op: in, values}: strings compared byte by byte, a missing field never fits."""
     c = F.col("metadata")[f["field"]]
@@ -76,8 +89,10 @@ def with_embeddings(memories: DataFrame, new: DataFrame) -> DataFrame:
 def in_range(memories: DataFrame, start, end, limit: int | None = None) -> DataFrame:
     """Memories from start to end, both included: of the oldest ``limit`` ones, the newest first (column rank)."""
     x = memories.where(F.col("created_at").between(start, end))
-    if limit is not None:
-        x = x.orderBy("created_at", "id").limit(limit)
+    if limit is None:
+        neg = x.withColumn("__id", F.col("id")).withColumn("id", -F.col("id"))
+        return ranked(neg, "created_at").drop("n").withColumn("id", F.col("__id")).drop("__id").withColumn("rank", F.col("rank").cast("int"))
+    x = x.orderBy("created_at", "id").limit(limit)
     return x.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("created_at"), F.desc("id"))))
 
 

@@ -65,7 +65,7 @@ named as (select *, greatest(t, c, e, 0.3) as confidence, case when t = confiden
 intents as (select query_id, intent, confidence, case when intent = 'entity' and length(caught) > 1 then upper(left(caught, 1)) || substr(caught, 2) end as entity_focus from named)"""
 
 
-VECTOR = """pairs as (select query_id, memories.id, round(greatest(0, least(1, list_cosine_similarity(query_embedding, embedding))), 9) as score from queries cross join memories),
+VECTOR = """pairs as (select query_id, memories.id, round(greatest(0, least(1, list_cosine_similarity(query_embedding, embedding))), 9) as score from queries cross join memories where embedding is not null),
 sem as (select *, row_number() over (partition by query_id order by score desc, id) as rank from pairs)"""
 
 BM25 = f"""toks as (select id, {tok('content')} as t from memories), flat as (select id, len(t) as l, unnest(t) as term from toks),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import entities as en
@@ -225,8 +225,8 @@ def extract_terms(s, d):
 @query(f"with t as (select {tok('text')} as t from documents), p as (select unnest(t) as term from t) select (select count(*) from t) as n, round((select avg(len(t)) from t), 6) as avgdl, count(distinct term) as terms from p")
 def bm25_stats(s, d):
     m = documents(s, d)
-    n = search.postings(m, False).agg(F.count_distinct("term").alias("terms"))
-    return search.corpus_stats(m, False).crossJoin(n).select("n", r6("avgdl").alias("avgdl"), "terms")
+    post = search.postings(m, False)
+    return search.corpus_stats(post).crossJoin(post.agg(F.count_distinct("term").alias("terms"))).select("n", r6("avgdl").alias("avgdl"), "terms")
 
 
 @query(T.sql("notes", "questions") + f" select 'n' as kind, id, array_to_string({temporal('content')}, '|') as found from notes union all select 'q', query_id, array_to_string({temporal('query_text')}, '|') from questions")
@@ -295,7 +295,7 @@ def vector_search(s, d):
     return scored(search.vector_search(T.memories(s, d), T.queries(s, d), K))
 
 
-@query(T.sql("memories", "queries") + ", " + VECTOR.replace("from queries cross join memories", "from queries cross join memories where lang = 'en'") + f" select query_id, id, round(score, 6) as score from sem {_TOP}")
+@query(T.sql("memories", "queries") + ", " + VECTOR.replace("where embedding is not null", "where embedding is not null and lang = 'en'") + f" select query_id, id, round(score, 6) as score from sem {_TOP}")
 def search_filtered(s, d):
     m = store.filtered(T.memories(s, d), [{"field": "lang", "op": "eq", "value": "en"}])
     return scored(search.vector_search(m, T.queries(s, d), K))
@@ -687,16 +687,19 @@ def query_full(s, d):
 
 # Measures
 
-_GOLD = "gold as (select query_id, id from (select query_id, memories.id, row_number() over (partition by query_id order by length(content) desc, memories.id) as n from queries cross join memories where memories.id % 10 = query_id % 10) where n <= 5)"
+_GOLD = f"""gtoks as (select id, list_distinct({tok('content')}) as t from memories), gflat as (select id, unnest(t) as term from gtoks), gdf as (select term, count(*) as df from gflat group by 1),
+gq as (select query_id, unnest(list_distinct({tok('query_text')})) as term from queries), grare as (select query_id, term, row_number() over (partition by query_id order by df, term) as n from gq join gdf using (term)),
+gold as (select query_id, id from (select query_id, id, count(*) as c, row_number() over (partition by query_id order by count(*) desc, id) as n from grare join gflat using (term) where grare.n <= 10 group by query_id, id) where n <= 5)"""
 
 
 def gold(s, d) -> DataFrame:
-    """Five long memories of a query's own last digit stand for its evidence."""
-    from pyspark.sql import Window
-
-    x = T.queries(s, d).select("query_id").join(T.memories(s, d).select("id", F.length("content").alias("n")), F.col("query_id") % 10 == F.col("id") % 10)
-    w = Window.partitionBy("query_id").orderBy(F.desc("n"), "id")
-    return x.withColumn("r", F.row_number().over(w)).where("r <= 5").select("query_id", "id")
+    """The five memories that hold most of a query's ten rarest words stand for its evidence; taken from all memories."""
+    word = T.memories(s, d).select("id", F.explode(F.array_distinct(tx.bm25_tokens(F.col("content"), False))).alias("term"))
+    ask = T.queries(s, d).select("query_id", F.explode(F.array_distinct(tx.bm25_tokens(F.col("query_text"), False))).alias("term"))
+    df = word.groupBy("term").agg(F.count("*").alias("df"))
+    rare = ask.join(df, "term").withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("df", "term"))).where("n <= 10")
+    x = rare.select("query_id", "term").join(word, "term").groupBy("query_id", "id").agg(F.count("*").alias("c"))
+    return x.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("c"), "id"))).where("r <= 5").select("query_id", "id")
 
 
 @query(T.sql("memories", "queries") + ", " + VECTOR + f", {_GOLD} select g.query_id, round(count(rank) / count(*)::double, 6) as recall, round(coalesce(1.0 / min(rank), 0), 6)::double as reciprocal_rank from gold g left join (select query_id, id, rank from sem where rank <= 50) s on s.query_id = g.query_id and s.id = g.id group by 1")

@@ -11,10 +11,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with their embeddings: id, content, embedding, created_at, namespace, metadata."""
+    """All documents, those that have an embedding with it: id, content, embedding, created_at, namespace, metadata."""
     d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
     at = F.timestamp_micros(F.lit(1704067200000000) + F.col("doc_id") * 60000000)
-    return d.join(e, d.doc_id == e.vec_id).select(
+    return d.join(e, d.doc_id == e.vec_id, "left").select(
         F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col("embedding").cast("array<double>").alias("embedding"), at.alias("created_at"),
         F.col("source").alias("namespace"), F.create_map(F.lit("lang"), "lang", F.lit("n_chars"), F.col("n_chars").cast("string")).alias("metadata"),
     )
@@ -93,7 +93,7 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # The same tables for DuckDB.
 SQL = {
-    "memories": "memories as (select doc_id as id, text as content, embedding::double[] as embedding, epoch_us(timestamp '2024-01-01') + doc_id * 60000000 as us, source as namespace, lang, n_chars::varchar as n_chars from documents join embeddings on doc_id = vec_id)",
+    "memories": "memories as (select doc_id as id, text as content, embedding::double[] as embedding, epoch_us(timestamp '2024-01-01') + doc_id * 60000000 as us, source as namespace, lang, n_chars::varchar as n_chars from documents left join embeddings on doc_id = vec_id)",
     "notes": "notes as (select event_id as id, 'User' || user_id || ' had ' || event_type || ' on ' || strftime(ts, '%Y-%m-%d') || case when event_type = 'error' then ' because value was ' else ' with value ' end || floor(value)::bigint as content, ts as created_at, epoch_us(ts) as us, 'User' || user_id as speaker, user_id, event_type, value, json_extract_string(props, '$.k') as k from events)",
     "turns": "turns as (select conv_id * 1000 + turn as id, text as content, conv_id || ':' || (turn + 1) as dialog_id, role as speaker, conv_id, turn + 1 as turn from conversations)",
     "edges": "edges as (select * from (select event_id as cause, lead(event_id) over (partition by user_id order by ts, event_id) as effect, 0.5::double + (event_id % 50) / 100.0::double as confidence from events) where effect is not null)",
