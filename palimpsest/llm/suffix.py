@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cmp_to_key
+from functools import cmp_to_key, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,7 @@ from .words import U, Words, anchors, chunks, mix, ranges, squeeze, texts
 LENGTH = 50  # words
 HOT = 10_000  # texts with an anchor, from which on its tree is made level by level over all tasks
 AT_ONCE = 16 << 20  # bytes of words that the places of one anchor may hold when sorted
-PLACE = "group_id long, n_words int, n_occurrences long, doc_id long, same binary, copies long, start int, period int, times int, first boolean"
+PLACE = "group_id long, parent_id long, n_words int, n_occurrences long, doc_id long, same binary, copies long, start int, cut int"
 
 
 def seeds(same: pa.Array) -> np.ndarray:
@@ -132,76 +132,60 @@ def common_words(a: bytes, b: bytes) -> tuple[int, int]:
     return a.count(b" ", 0, n), n
 
 
-def intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
-    """Stack scan: (common prefix, first, last) of every interval of suffixes that share more than their neighbours.
+_PLACE = {"group_id": pa.int64(), "parent_id": pa.int64(), "n_words": pa.int32(), "n_occurrences": pa.int64(), "doc_id": pa.int64(), "same": pa.binary(), "copies": pa.int64(), "start": pa.int32(), "cut": pa.int32()}
 
-    lcp[i] is the common prefix of the suffixes i and i+1.
-    """
-    stack: list[tuple[int, int]] = []  # common prefix, first suffix
-    for i, x in enumerate([*lcp, -1]):
-        first = i
-        while stack and stack[-1][0] > x:
-            value, first = stack.pop()
-            yield value, first, i
-        if x >= 0 and (not stack or stack[-1][0] < x):
-            stack.append((x, first))
 
+def _places(columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _PLACE.values())], list(_PLACE))
 
-_PLACE = {"group_id": pa.int64(), "n_words": pa.int32(), "n_occurrences": pa.int64(), "doc_id": pa.int64(), "same": pa.binary(), "copies": pa.int64(), "start": pa.int32(), "period": pa.int32(), "times": pa.int32(), "first": pa.bool_()}
 
+class Group:
+    """An interval that is a maximal repeat: its length, places of its own, greater groups within it."""
 
-def runs(text: np.ndarray, start: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index of the first, period, times): places in order of text and start as arithmetic progressions.
+    __slots__ = ("value", "a", "b", "own", "first", "parent")
 
-    Only places of one text that follow at the same distance, of ``n`` words at most, become one run: those of a
-    passage that is said over and over. Others are runs of one place with period 0.
-    """
-    m = len(start)
-    gap = np.where((text[1:] == text[:-1]) & (start[1:] - start[:-1] <= n), start[1:] - start[:-1], 0)
-    if not gap.any():
-        return np.arange(m), np.zeros(m, np.int64), np.ones(m, np.int64)
-    begin, period, times = [], [], []
-    i = 0
-    edge = np.append(np.flatnonzero(gap[1:] != gap[:-1]) + 1, len(gap))  # where the next stretch of equal gaps begins
-    while i < m:
-        j = int(edge[np.searchsorted(edge, i, side="right")]) if i < len(gap) and gap[i] else i
-        begin.append(i)
-        period.append(int(gap[i]) if j > i else 0)
-        times.append(j - i + 1)
-        i = j + 1
-    return np.array(begin), np.array(period), np.array(times)
+    def __init__(self, value: int, a: int, b: int, own: list[int], first: int):
+        self.value, self.a, self.b, self.own, self.first, self.parent = value, a, b, own, first, None
 
 
-class _Found:
-    """Runs of places of the groups found, a row for each."""
-
-    def __init__(self) -> None:
-        self.groups: list[tuple[int, int, int]] = []  # id, words, occurrences
-        self.n: list[int] = []
-        self.columns: list[list[np.ndarray]] = [[] for _ in range(6)]  # doc, copies, start, period, times, first
-        self.same: list[bytes] = []
-        self.size = 0
-
-    def add(self, ident: int, n: int, text: np.ndarray, doc: np.ndarray, start: np.ndarray, copies: np.ndarray, same: list[bytes]) -> None:
-        """Places in order of doc, text and start; same[text] is the text's hash."""
-        i, period, times = runs(text, start, n)
-        first = np.zeros(len(i), bool)
-        first[0] = True
-        self.groups.append((ident, n, int(copies.sum())))
-        self.n.append(len(i))
-        for x, y in zip(self.columns, (doc[i], copies[i], start[i], period, times, first)):
-            x.append(y)
-        self.same += [same[t] for t in text[i].tolist()]
-        self.size += len(i)
+def interval_tree(lcp: list[int], order: list[int], told) -> tuple[list[Group], list[int]]:
+    """Stack scan of an enhanced suffix array: the tree of the intervals that ``told(value, a, b)`` takes, and what to cut.
 
-    def batch(self) -> pa.RecordBatch:
-        g = np.array(self.groups, np.int64).reshape(-1, 3)
-        each = [np.repeat(g[:, i], np.array(self.n, np.int64)) for i in range(3)]
-        doc, *rest = [np.concatenate(x) if x else np.empty(0, np.int64) for x in self.columns]
-        cols = (*each, doc, self.same, *rest)
-        out = pa.RecordBatch.from_arrays([pa.array(c if isinstance(c, list) else c.astype(t.to_pandas_dtype()), t) for c, t in zip(cols, _PLACE.values())], list(_PLACE))
-        self.__init__()
-        return out
+    lcp[i] is the common prefix of the suffixes i and i+1. A suffix is listed in the longest of its groups only, so the tree is
+    no larger than the array. cut[i] is the length of the longest group of which suffix i isn't the first by ``order``, 0 if there is none.
+    """
+    groups: list[Group] = []
+    cut = [0] * len(order)
+    stack: list[list] = []  # common prefix, first suffix, suffixes without a group so far, groups without a parent so far
+    for i, x in enumerate([*lcp, -1]):
+        first, loose, inner = i, [i], []
+        while stack and stack[-1][0] > x:
+            value, first, more, kids = stack.pop()
+            if len(more) < len(loose):
+                more, loose = loose, more
+            more += loose
+            kids += inner
+            if told(value, first, i):
+                least = min([*more, *(k.first for k in kids)], key=order.__getitem__)
+                g = Group(value, first, i, more, least)
+                for p in more:
+                    if p != least:
+                        cut[p] = value
+                for k in kids:
+                    k.parent = g
+                    if k.first != least:
+                        cut[k.first] = value
+                groups.append(g)
+                loose, inner = [], [g]
+            else:
+                loose, inner = more, kids
+        if x >= 0:
+            if stack and stack[-1][0] == x:
+                stack[-1][2] += loose
+                stack[-1][3] += inner
+            else:
+                stack.append([x, first, loose, inner])
+    return groups, cut
 
 
 def _sorted(places: list[tuple], limit: int) -> list[tuple]:
@@ -219,13 +203,29 @@ def _sorted(places: list[tuple], limit: int) -> list[tuple]:
     return sorted(places, key=key if sum(len(p[0]) - p[1] for p in places) <= limit else cmp_to_key(order))
 
 
+class _Found:
+    """Rows of PLACE."""
+
+    def __init__(self) -> None:
+        self.columns: list[list] = [[] for _ in _PLACE]
+
+    @property
+    def size(self) -> int:
+        return len(self.columns[0])
+
+    def batch(self) -> pa.RecordBatch:
+        out = _places(self.columns)
+        self.columns = [[] for _ in _PLACE]
+        return out
+
+
 def _bucket(rows: list[dict], length: int, found: _Found, limit: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
     """All maximal repeats whose anchor this is: one enhanced suffix array, a scan for each left side.
 
     ``rows`` are the places of one anchor. The suffixes from the anchor on are sorted once;
     for each number of words to the left, places with the same words there form a class, and
     the intervals of the class in the array are repeats if the next words on the left differ.
-    Full batches of groups are given out at once, the rest stays in ``found``.
+    Full batches of rows are given out at once, the rest stays in ``found``.
     """
     places = [(r["words"], b, r["doc_id"], f, lo, hi, a, r["copies"], r["same"]) for r in rows for f, lo, hi, a, b in zip(r["pos"], r["lo"], r["hi"], r["left"], r["right"])]
     if len(places) < 2:
@@ -243,33 +243,24 @@ def _bucket(rows: list[dict], length: int, found: _Found, limit: int = AT_ONCE)
             continue
         lcp.append(common_words(right(q), right(p))[0])
         kept.append(p)
-    rows = [{"pos": p[3], "lo": p[4], "hi": p[5]} for p in kept]
-    n = len(rows)
+    n = len(kept)
     left = [p[0][p[6] : p[1]].split() for p in kept]
-    pos = np.array([r["pos"] for r in rows], np.int64)
-    docs = np.array([p[2] for p in kept], np.int64)
-    copies = np.array([p[7] for p in kept], np.int64)
-    known: dict[tuple, int] = {}
-    text = np.array([known.setdefault((p[2], p[8]), len(known)) for p in kept], np.int64)
-    texts_of = [t[1] for t in known]
-    order = np.lexsort((pos, text, docs))  # whatever the words on the left, places keep this order
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    text, docs_in, pos_in, copies_in = text[order], docs[order], pos[order], copies[order]
-    nearest = [r["pos"] - r["hi"] for r in rows]
+    pos, lo, hi = ([p[i] for p in kept] for i in (3, 4, 5))
+    nearest = [p[3] - p[5] for p in kept]
+    rank = [0] * n  # by document, text and position, whatever the words on the left
+    for k, i in enumerate(sorted(range(n), key=lambda i: (kept[i][2], kept[i][8], pos[i]))):
+        rank[i] = k
     hashed: dict[int, Words] = {}
 
-    def put(o: int, value: int, at: np.ndarray) -> None:
-        words, right_at = kept[at[0]][:2]
+    def ident(i: int, o: int, value: int) -> int:
+        words, right_at = kept[i][:2]
         w = hashed.get(id(words))
         if w is None:
             if len(hashed) > 64:
                 hashed.clear()
             w = hashed[id(words)] = Words([words[:-1]])
         x = int(np.searchsorted(w.start, right_at))
-        idx = np.sort(place[at])
-        ident = w.span(np.array([x - o]), np.array([x + value])).view(np.int64)[0]
-        found.add(int(ident), o + value, text[idx], docs_in[idx], pos_in[idx] - o, copies_in[idx], texts_of)
+        return int(w.span(np.array([x - o]), np.array([x + value])).view(np.int64)[0])
 
     todo: list[tuple[int, list[int]]] = [(0, list(range(n)))]  # words to the left, places that share them
     while todo:
@@ -292,7 +283,6 @@ def _bucket(rows: list[dict], length: int, found: _Found, limit: int = AT_ONCE)
             key = w[-1 - o] if o < len(w) else (None, j)
             label.append(kinds.setdefault(key, len(kinds)))
         if len(kinds) > 1:
-            here = np.array(at)
             pairs = [lcp[x] if y == x + 1 else min(lcp[x:y]) for x, y in zip(at, at[1:])]
             differs = [0] * len(at)  # the next place with another word on the left
             nxt = len(at)
@@ -300,12 +290,26 @@ def _bucket(rows: list[dict], length: int, found: _Found, limit: int = AT_ONCE)
                 if i + 1 < len(at) and label[i] != label[i + 1]:
                     nxt = i + 1
                 differs[i] = nxt
-            for value, a, b in intervals(pairs):
-                r = rows[at[a]]
-                if o + value >= length and differs[a] <= b and r["pos"] - r["hi"] <= o <= r["pos"] - r["lo"]:
-                    put(o, value, here[a : b + 1])
-                    if found.size > 50_000:
-                        yield found.batch()
+
+            def told(value: int, a: int, b: int) -> bool:
+                j = at[a]
+                return o + value >= length and differs[a] <= b and pos[j] - hi[j] <= o <= pos[j] - lo[j]
+
+            groups, cut = interval_tree(pairs, [rank[j] for j in at], told)
+            if groups:
+                up = np.cumsum([0, *(kept[j][7] for j in at)])
+                ids = {id(g): ident(at[g.a], o, g.value) for g in groups}
+                for g in groups:
+                    own = g.own or [g.first]
+                    m = len(own)
+                    parent = ids[id(g.parent)] if g.parent is not None else None
+                    some = [kept[at[i]] for i in own]
+                    cuts = [o + cut[i] if cut[i] else 0 for i in own] if g.own else [0]
+                    cols = ([ids[id(g)]] * m, [parent] * m, [o + g.value] * m, [int(up[g.b + 1] - up[g.a])] * m, [p[2] for p in some], [p[8] for p in some], [p[7] for p in some], [p[3] - o for p in some], cuts)
+                    for x, y in zip(found.columns, cols):
+                        x += y
+                if found.size > 20_000:
+                    yield found.batch()
         if len(kinds) < len(at):
             split: dict[int, list[int]] = {}
             for j, x in zip(at, label):
@@ -341,7 +345,8 @@ def _whole(length: int):
             at = pa.array(np.flatnonzero(w.count >= length))
             n = w.count[at.to_numpy()]
             doc, same, copies = (batch.column(i).take(at) for i in (0, 2, 3))
-            yield pa.RecordBatch.from_arrays([pa.array(w.whole()[at.to_numpy()].view(np.int64)), pa.array(n.astype(np.int32)), copies, doc, same, copies, *(pa.array(np.full(len(n), x, np.int32)) for x in (0, 0, 1)), pa.array(np.ones(len(n), bool))], list(_PLACE))
+            zero = pa.array(np.zeros(len(n), np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(w.whole()[at.to_numpy()].view(np.int64)), pa.nulls(len(n), pa.int64()), pa.array(n.astype(np.int32)), copies, doc, same, copies, zero, zero], list(_PLACE))
 
     return run
 
@@ -422,18 +427,6 @@ def _levels(depth: int, step: int):
     return run
 
 
-def _as_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for r in _each(batch):
-            start = np.sort(np.array(r["starts"], np.int64))
-            i, period, times = runs(np.zeros(len(start), np.int64), start, r["n_words"])
-            m = len(i)
-            one = r["one"]
-            first = start[i] == one["start"] if (one["doc_id"], one["same"]) == (r["doc_id"], r["same"]) else np.zeros(m, bool)
-            cols = (*([r[c]] * m for c in ("group_id", "n_words", "n_occurrences", "doc_id", "same", "copies")), start[i], period, times, first)
-            yield pa.RecordBatch.from_arrays([pa.array(c if isinstance(c, list) else c.astype(t.to_pandas_dtype()), t) for c, t in zip(cols, _PLACE.values())], list(_PLACE))
-
-
 def _hot_places(context: DataFrame, length: int, step: int = 32) -> DataFrame:
     """The groups through hot anchors, without any group in one task.
 
@@ -453,23 +446,28 @@ def _hot_places(context: DataFrame, length: int, step: int = 32) -> DataFrame:
             *(f(c).alias(f"{c}{i}") for c in ("left", "next") for i, f in enumerate((F.min, F.max))),
         )
         node = written(node.where("n > 1 and left0 <> left1 and next0 <> next1").select("id", "d", "n_occurrences", "one"))
-        each = level.where("not go").join(node, ["id", "d"]).groupBy(F.col("id").alias("group_id"), F.col("d").alias("n_words"), "doc_id", "same").agg(
-            F.first("n_occurrences").alias("n_occurrences"), F.first("copies").alias("copies"), F.first("one").alias("one"), F.collect_list("start").alias("starts")
-        )
-        out.append(each.select("group_id", "n_words", "n_occurrences", "doc_id", "same", "copies", "one", "starts").mapInArrow(_as_runs, PLACE))
+        first = F.struct("doc_id", "same", "start") == F.col("one")
+        out.append(level.where("not go").join(node, ["id", "d"]).select("doc_id", "same", "copies", "start", F.struct("d", "id", "n_occurrences", first.alias("first")).alias("node")))
         more = level.where("go").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
         key = written(level.where("go").join(more, "id", "left_semi").select("doc_id", "same", "start"))
         now = written(now.join(key, ["doc_id", "same", "start"], "left_semi"))
         depth, step = depth + step, step * 2
     if not out:
         return context.sparkSession.createDataFrame([], PLACE)
-    for x in out[1:]:
-        out[0] = out[0].unionByName(x)
-    return out[0]
+    every = reduce(DataFrame.unionByName, out).groupBy("doc_id", "same", "copies", "start").agg(F.sort_array(F.collect_list("node")).alias("nodes"))  # of one place: as many as its words at most
+    cut = F.coalesce(F.array_max(F.transform(F.filter("nodes", lambda x: ~x["first"]), lambda x: x["d"])), F.lit(0))
+    each = every.select("doc_id", "same", "copies", "start", cut.alias("cut"), "nodes", F.posexplode("nodes").alias("k", "node"))
+    own = F.col("k") == F.size("nodes") - 1
+    row = written(each.where(own | F.col("node.first")).select(
+        F.col("node.id").alias("group_id"), F.when(F.col("k") > 0, F.try_element_at("nodes", F.col("k"))["id"]).alias("parent_id"), F.col("node.d").alias("n_words"), "node.n_occurrences",
+        "doc_id", "same", "copies", "start", F.when(own, F.col("cut")).otherwise(0).alias("cut"), own.alias("own"),
+    ))
+    bare = row.where("not own").join(row.where("own").select("group_id").distinct(), "group_id", "left_anti")
+    return row.where("own").drop("own").unionByName(bare.select(row.columns).drop("own"))
 
 
 def places(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """A row for each run of places of each maximal repeat: the columns of ``maximal_repeats``, the text's hash, whether the group's first place is in it."""
+    """The rows of ``maximal_repeats`` with the text's hash and how many words are to go if only each group's first place is to stay (0: none)."""
     base = slim(docs)
     anchor = written(base.mapInArrow(anchor_rows(length), ANCHOR))
     per = anchor.groupBy("fp").agg(F.count("*").alias("n"), F.sum("lead").alias("texts"), (F.min("tag") != F.max("tag")).alias("starts")).where("n > 1")
@@ -497,21 +495,24 @@ def places(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     whole = only(base, written(reps.select("doc_id").distinct()), "doc_id").join(reps, ["doc_id", "same"]).select("doc_id", "text", "same", "copies").mapInArrow(_whole(length), PLACE)
     # Whole texts that occur within other texts, too, are in the tree with more places.
     known = tree.where("copies > 1 and start = 0").select("group_id", "n_words").distinct()
-    every = tree.unionByName(whole.dropDuplicates(["group_id", "n_words"]).join(known, ["group_id", "n_words"], "left_anti").select(tree.columns))
-    cols = ["group_id", "n_words", "n_occurrences", "doc_id", "same", "start", "period", "times", "first"]
-    copied = every.where("copies > 1").join(member.withColumnRenamed("doc_id", "own"), "same").withColumn("first", F.col("first") & (F.col("own") == F.col("doc_id"))).drop("doc_id").withColumnRenamed("own", "doc_id")
+    alone = whole.dropDuplicates(["group_id", "n_words"]).join(known, ["group_id", "n_words"], "left_anti").drop("parent_id")
+    up = tree.where("copies > 1 and start = 0").groupBy("doc_id", "same").agg(F.max_by("group_id", "n_words").alias("parent_id"))
+    every = tree.unionByName(alone.join(up, ["doc_id", "same"], "left").select(tree.columns))
+    cols = ["group_id", "parent_id", "n_words", "n_occurrences", "doc_id", "same", "start", "cut"]
+    copied = every.where("copies > 1").join(member.withColumnRenamed("doc_id", "own"), "same")
+    copied = copied.withColumn("cut", F.when(F.col("own") == F.col("doc_id"), F.col("cut")).otherwise(F.col("n_words"))).drop("doc_id").withColumnRenamed("own", "doc_id")
     return every.where("copies = 1").select(cols).unionByName(copied.select(cols))
 
 
 def maximal_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """(group_id, n_words, n_occurrences, doc_id, start, period, times): all places of every maximal repeat of at least ``length`` words.
+    """(group_id, parent_id, n_words, n_occurrences, doc_id, start): all places of every maximal repeat of at least ``length`` words, as a tree.
 
     A maximal repeat is a run of words that occurs at two places at least, of which not all have
     the same word before it and not all the same word after it; the ends of a text differ from
-    every word. A group has all n_occurrences places where its words occur: in doc_id from the words number
-    start, start + period and so on, ``times`` of them. A row has one place, unless a text says a passage over and over:
-    places at equal distances of n_words at most are one row, so that rows don't grow as the square of such a text. Groups of one text's parts can overlap and nest, as the
-    intervals of a suffix tree do. group_id is a hash of the words.
+    every word. A group has n_occurrences places: in doc_id from word number start on. Groups that begin alike nest: parent_id is the
+    next shorter one, which has all places of its children, too. A place is listed in the longest of its groups, so that rows don't
+    grow as the square of near copies or of a text that repeats itself; a group without a place of its own lists its first one. The
+    places of a group are its rows and those of all groups below it. group_id is a hash of the words.
 
     Suffixes that could share ``length`` words meet by their winnowed anchor, which equal windows
     have in common, so each shard is a set of anchors and holds the suffixes through them; within it
@@ -524,10 +525,10 @@ def maximal_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Da
 
     Words are parted by ASCII white space; how much of it doesn't matter. Null, empty and shorter texts
     have no repeats; rows with a null doc_id are left out. Places may overlap: n equal words in
-    succession hold repeats of each length under n, so their places grow as n squared. A repeated doc_id
+    succession hold repeats of each length under n, a chain in the tree. A repeated doc_id
     is one document if its text is the same, else several that share the id. Other columns are ignored. No rows in: no rows out.
     """
-    return places(docs, length, hot).select("group_id", "n_words", "n_occurrences", "doc_id", "start", "period", "times")
+    return places(docs, length, hot).select("group_id", "parent_id", "n_words", "n_occurrences", "doc_id", "start")
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -563,9 +564,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     are safe. No rows in: no rows out.
     """
     ident, same, cuts = free(docs, "id", "same", "cuts")
-    stop = F.col("start") + F.col("period") * (F.col("times") - 1) + F.col("n_words")
-    later = places(docs).where("not first or times > 1").withColumn("stop", stop).withColumn("start", F.when(F.col("first"), F.col("start") + F.col("period")).otherwise(F.col("start")))
-    longest = later.groupBy("doc_id", "same", "start").agg(F.max("stop").alias("stop"))  # covers all others from there
+    longest = places(docs).where("cut > 0").groupBy("doc_id", "same", "start").agg(F.max(F.col("start") + F.col("cut")).alias("stop"))
     spans = written(longest.groupBy(F.col("doc_id").alias(ident), F.col("same").alias(same)).agg(F.collect_list(F.struct("start", "stop")).alias(cuts)))
     ids = written(spans.select(ident, same))
     keyed = docs.withColumns({ident: docs["doc_id"].cast("long"), same: F.unhex(F.md5(docs["text"]))})

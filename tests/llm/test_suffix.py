@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from corpus import DOCS, corpus, prose, rows
 
-from palimpsest.llm.suffix import _sorted, intervals, maximal_repeats, without_repeats
+from palimpsest.llm.suffix import _sorted, interval_tree, maximal_repeats, without_repeats
 
 
 def brute(docs, length):
@@ -35,13 +35,19 @@ def brute(docs, length):
 
 
 def grouped(df):
-    """(words, places) of each group; every row says how many there are."""
-    got = defaultdict(list)
+    """(words, places) of each group, its children's places included."""
+    own, kind, kids = defaultdict(set), {}, defaultdict(set)
     for r in df.collect():
-        assert r.times == 1 and r.period == 0 or r.times > 1 and 0 < r.period <= r.n_words
-        got[r.group_id, r.n_words, r.n_occurrences] += [(r.doc_id, r.start + i * r.period) for i in range(r.times)]
-    assert len({g for g, _, _ in got}) == len(got) and all(n == len(g) for (_, _, n), g in got.items())
-    return sorted((n, sorted(g)) for (_, n, _), g in got.items())
+        own[r.group_id].add((r.doc_id, r.start))
+        assert kind.setdefault(r.group_id, (r.n_words, r.n_occurrences, r.parent_id)) == (r.n_words, r.n_occurrences, r.parent_id)
+        if r.parent_id is not None:
+            kids[r.parent_id].add(r.group_id)
+    every = {}
+    for g in sorted(own, key=lambda g: -kind[g][0]):  # children are longer
+        every[g] = own[g].union(*(every[k] for k in kids[g]))
+        assert len(every[g]) == kind[g][1]
+    assert set(kids) <= set(own)
+    return sorted((kind[g][0], sorted(p)) for g, p in every.items())
 
 
 def ours(spark, docs, length, hot=10_000):
@@ -72,7 +78,7 @@ def test_awkward_rows(spark):
     for hot in (0, 10_000):
         assert grouped(maximal_repeats(df, 20, hot)) == [(60, [(3, 0), (4, 0)])]
     empty = maximal_repeats(df.limit(0), 20)
-    assert empty.count() == 0 and empty.columns == ["group_id", "n_words", "n_occurrences", "doc_id", "start", "period", "times"]
+    assert empty.count() == 0 and empty.columns == ["group_id", "parent_id", "n_words", "n_occurrences", "doc_id", "start"]
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -147,9 +153,10 @@ def test_stage_keeps_the_first_place(spark):
 
 
 def test_stack_scan():
-    lcp = [2, 3, 3, 0, 1]
-    got = sorted(intervals(lcp))
-    assert got == [(0, 0, 5), (1, 4, 5), (2, 0, 3), (3, 1, 3)]
+    groups, cut = interval_tree([2, 3, 3, 0, 1], [5, 4, 3, 2, 1, 0], lambda value, a, b: True)
+    got = sorted((g.value, g.a, g.b, sorted(g.own), g.parent.value if g.parent else None) for g in groups)
+    assert got == [(0, 0, 5, [], None), (1, 4, 5, [4, 5], 0), (2, 0, 3, [0], 0), (3, 1, 3, [1, 2, 3], 2)]
+    assert cut == [2, 3, 3, 0, 1, 0]
 
 
 def test_stage_leaves_awkward_rows_alone(spark):
