@@ -14,6 +14,7 @@ from .store import free, only, settle, written
 from .words import U, Words, chunks, mix, ranges, texts
 
 SHINGLE, SIDE, HASHES, LEAST = 3, 11, 2, 0.5  # a pair at LEAST itself is found with probability 0.92
+PAIRS, ROUNDS = 64, 6  # pairs a member from which on another round is worth its jobs, and rounds at most; they don't change the result
 
 
 def _shingles(docs: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,10 +112,12 @@ def _linked(member: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
     All are compared with the bucket's least. Jaccard distance obeys the triangle inequality: one at distance D from
     the least and one at distance r can be alike only if r >= D - (1 - LEAST); such pairs are compared. Those unlike the least form the next
-    round's bucket, with a least of their own, until what is left of the buckets is small enough for all its pairs.
+    round's bucket, with a least of their own, while the buckets that are left would give many pairs a member; then all
+    their pairs are compared.
     """
-    known, now, more, last = None, member, None, False
+    known, now, more, last, rounds = None, member, None, False, 0
     while True:
+        rounds += 1
         pairs = now.select("a", "b") if more is None else now.select("a", "b").unionByName(more)
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         found = _check(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"), sets, least)
@@ -127,7 +130,7 @@ def _linked(member: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         if not count["rows"]:
             return known
         more = far.select("key", "a", F.col("d").alias("far")).join(like.select("key", F.col("a").alias("b"), "d"), "key").where(F.col("d") >= F.col("far") - (1 - least) - 1e-9).select("a", "b")
-        last = count["pairs"] <= 4 * count["rows"]
+        last = count["pairs"] <= PAIRS * count["rows"] or rounds >= ROUNDS
         if last:
             now = far.select("key", "a").join(far.select("key", F.col("a").alias("b")), "key").where("a > b")
         else:
