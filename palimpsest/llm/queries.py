@@ -9,6 +9,7 @@ QUERIES = {
     "op2_suffix_array_dedup": suffix.op2_suffix_array_dedup,
     "op3_factorisation_machine": factorisation.op3_factorisation_machine,
     "op4_vp_tree_neighbours": vptree.op4_vp_tree_neighbours,
+    "op4_exact_neighbours": vptree.op4_exact_neighbours,
     "op5_adaptive_quality_rules": rules.op5_adaptive_quality_rules,
     "op6_hash_threshold_mixing": mixing.op6_hash_threshold_mixing,
     "op7_byte_bpe": bpe.op7_byte_bpe,
@@ -20,6 +21,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_warc_derivatives": warc.ORACLE,
+    "op4_exact_neighbours": vptree.ORACLE,
     "op5_adaptive_quality_rules": rules.ORACLE,
     "op6_hash_threshold_mixing": mixing.ORACLE,
     "op9_license_scan": licenses.ORACLE,

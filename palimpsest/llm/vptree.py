@@ -7,13 +7,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import only_few, settle, written
 
 K = 10
 RELAX = 2.0
 LEAF = 256
 SHARD = 8192  # vectors aimed at in a shard
 BLOCK = 32768  # queries aimed at in a task
+EVERY = 20  # the query asks for the vectors whose id this divides, against all vectors
 PIVOT_BYTES = 64 << 20  # most that the pivots may take when sent to all tasks
 
 
@@ -126,21 +127,6 @@ def _rows(own: np.ndarray, queries: np.ndarray, ids: np.ndarray, points: np.ndar
     return own[r], got, np.sqrt(((queries[r] - points[at]) ** 2).sum(1))
 
 
-def _home(k: int, relax: float):
-    """Neighbours within the own shard, and the distance of the k-th."""
-
-    def run(table: pa.Table) -> pa.Table:
-        n = table.num_rows
-        ids = table.column("vec_id").to_numpy()
-        x = _matrix(table.column("x"), n)
-        best = search(Tree(x), ids, x, ids, np.full(n, np.inf), k, relax)
-        lists = [[{"neighbor_id": int(i), "distance": float(d)} for i, d in zip(ri, rd) if np.isfinite(d)] for ri, rd in zip(best.i, best.d)]
-        kind = pa.list_(pa.struct([("neighbor_id", pa.int64()), ("distance", pa.float64())]))
-        return pa.Table.from_arrays([table.column("vec_id"), table.column("x"), table.column("shard"), pa.array(best.bound), pa.array(lists, kind)], ["vec_id", "x", "shard", "bound", "near"])
-
-    return run
-
-
 def _away(k: int, relax: float):
     """Nearer neighbours in another shard."""
 
@@ -173,12 +159,12 @@ def _assign(pivots: dict[int, np.ndarray]):
     return run
 
 
-def _route(pivots: dict, radius: dict[int, float], relax: float, blocks: int):
+def _route(pivots: dict, radius: dict[int, float], relax: float):
     """A query goes to each other shard that can hold something nearer than its k-th neighbour so far."""
 
     def run(batches):
         for batch in batches:
-            ids, bound = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+            bound = batch.column(3).to_numpy()
             home = batch.column(2).to_numpy()
             for number, p in pivots.values():
                 mine = np.flatnonzero(np.isin(home, number))
@@ -194,27 +180,41 @@ def _route(pivots: dict, radius: dict[int, float], relax: float, blocks: int):
                     r, s = np.nonzero(go)
                     at = mine[a + r]
                     pick = pa.array(at)
-                    yield pa.RecordBatch.from_arrays([pa.array(number[s].astype(np.int32)), pa.array((ids[at] % blocks).astype(np.int32)), batch.column(0).take(pick), batch.column(1).take(pick), batch.column(3).take(pick)], ["shard", "block", "vec_id", "x", "bound"])
+                    yield pa.RecordBatch.from_arrays([pa.array(number[s].astype(np.int32)), batch.column(0).take(pick), batch.column(1).take(pick), batch.column(3).take(pick)], ["shard", "vec_id", "x", "bound"])
 
     return run
 
 
-def neighbours(vectors: DataFrame, k: int = K, relax: float = RELAX, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
-    """(vec_id, rank, neighbor_id, distance): the k nearest other vectors of every vector, by Euclidean distance.
+def _searched(member: DataFrame, routed: DataFrame, k: int, relax: float, block: int) -> DataFrame:
+    """(vec_id, neighbor_id, distance) of ``routed`` (shard, part, vec_id, x, bound), a written table, among the members of its shard and part.
+
+    A part's tree is made once for each ``block`` queries that come to it, so copies of members follow the queries, not the square of anything.
+    """
+    blocks = written(routed.groupBy("shard", "part").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
+    to = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
+    asked = routed.join(only_few(blocks), ["shard", "part"]).select("shard", "part", to.alias("block"), "vec_id", "x", "bound")
+    copies = member.join(only_few(blocks), ["shard", "part"]).select("shard", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "vec_id", "x")
+    return copies.groupBy("shard", "part", "block").cogroup(asked.groupBy("shard", "part", "block")).applyInArrow(_away(k, relax), OUT)
+
+
+def neighbours(vectors: DataFrame, k: int = K, relax: float = RELAX, shard: int = SHARD, block: int = BLOCK, every: int = 1) -> DataFrame:
+    """(vec_id, rank, neighbor_id, distance): the k nearest other vectors, by Euclidean distance, of every vector whose id ``every`` divides.
 
     Vectors go to the shard of their nearest pivot (about one in ``shard`` vectors, those with the
-    least hashes). Each shard makes a vantage-point tree. A query searches its own shard, then those whose
+    least hashes). A shard of over twice that size, as many copies of a vector make, is parted by hash, and its queries go to all parts. Each part makes
+    a vantage-point tree. A query searches its own shard, then those whose
     ball round the pivot can hold something nearer. All lower bounds are multiplied by ``relax`` before they are compared with
-    the k-th distance: 1 is exact, more prunes more. Ties go to the lesser id.
+    the k-th distance: 1 is exact, more prunes more. Ties go to the lesser id. All vectors are indexed.
 
-    Null ids, and vectors that are null, empty or hold a null or NaN, are left out; a repeated id counts once;
-    vectors of different lengths aren't compared. Fewer than k others: as many rows as there are. Other columns are ignored. No rows in: no
-    rows out. The pivots go to every task and must stay under PIVOT_BYTES; beyond, take larger shards.
+    Null ids, and vectors that are null, empty or hold a null, NaN or infinity, are left out; of several vectors under one id the least, number by
+    number, counts; vectors of different lengths aren't compared; very long ones are. Fewer than k others: as many rows as there are. Other columns are ignored.
+    No rows in: no rows out. The pivots go to every task and must stay under PIVOT_BYTES; beyond, take larger shards.
     """
     spark = vectors.sparkSession
+    settle(spark)
     x = F.col("embedding").cast("array<double>")
-    good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).where("vec_id is not null and size(x) > 0 and not exists(x, v -> v is null or isnan(v))")
-    good = written(good.dropDuplicates(["vec_id"]).withColumn("dim", F.size("x")))
+    good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).where("vec_id is not null and size(x) > 0 and not exists(x, v -> v is null or isnan(v) or abs(v) = double('infinity'))")
+    good = written(good.groupBy("vec_id").agg(F.min("x").alias("x")).withColumn("dim", F.size("x")))
     sizes = {r.dim: r["count"] for r in good.groupBy("dim").count().collect()}
     pivots: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     start = 0
@@ -228,17 +228,35 @@ def neighbours(vectors: DataFrame, k: int = K, relax: float = RELAX, shard: int
     if not pivots:
         return spark.createDataFrame([], "vec_id long, rank int, neighbor_id long, distance double")
     member = written(good.select("vec_id", "x", "dim").mapInArrow(_assign(pivots), "vec_id long, x array<double>, shard int, reach double"))
-    radius = {r.shard: r.r for r in member.groupBy("shard").agg(F.max("reach").alias("r")).collect()}  # a row for each pivot
-    near = "near array<struct<neighbor_id:long,distance:double>>"
-    home = written(member.select("vec_id", "x", "shard").groupBy("shard").applyInArrow(_home(k, relax), f"vec_id long, x array<double>, shard int, bound double, {near}"))
-    blocks = max(1, -(-sum(sizes.values()) // block))
-    routed = home.select("vec_id", "x", "shard", "bound").mapInArrow(_route(pivots, radius, relax, blocks), "shard int, block int, vec_id long, x array<double>, bound double")
-    copies = member.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "x")
-    away = copies.groupBy("shard", "block").cogroup(routed.groupBy("shard", "block")).applyInArrow(_away(k, relax), OUT)
-    every = home.select("vec_id", F.inline("near")).unionByName(away)
+    shards = written(member.groupBy("shard").agg(F.max("reach").alias("radius"), F.ceil(F.count("*") / (2 * shard)).cast("int").alias("parts")))
+    radius = {r.shard: r.radius for r in shards.collect()}  # a row for each pivot
+    few = only_few(shards.select("shard", "parts"))
+    member = member.join(few, "shard").select("vec_id", "x", "shard", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"))
+    parts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    query = member.where(F.col("vec_id") % every == 0).select("vec_id", "x", "shard")
+    home = written(query.join(few, "shard").select("shard", parts, "vec_id", "x", F.lit(float("inf")).alias("bound")))
+    near = written(_searched(member, home, k, relax, block))
     order = Window.partitionBy("vec_id").orderBy("distance", "neighbor_id")
-    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("vec_id", "rank", "neighbor_id", "distance")
+    kth = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("vec_id", F.col("distance").alias("bound"))
+    asked = query.join(kth, "vec_id", "left").select("vec_id", "x", "shard", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+    routed = asked.mapInArrow(_route(pivots, radius, relax), "shard int, vec_id long, x array<double>, bound double")
+    away = _searched(member, written(routed.join(few, "shard").select("shard", parts, "vec_id", "x", "bound")), k, relax, block)
+    both = near.unionByName(away).withColumn("rank", F.row_number().over(order))
+    return both.where(F.col("rank") <= k).select("vec_id", "rank", "neighbor_id", "distance")
 
 
 def op4_vp_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=EVERY)
+
+
+def op4_exact_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by factor one, which is exact and so has SQL."""
+    x = neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), relax=1.0, every=EVERY)
+    return x.select("vec_id", "rank", "neighbor_id", F.round("distance", 6).alias("distance"))
+
+
+ORACLE = f"""
+with e as (select vec_id, embedding::double[] as x from embeddings),
+p as (select a.vec_id, b.vec_id as neighbor_id, list_distance(a.x, b.x) as d from e a join e b on a.vec_id <> b.vec_id where a.vec_id % {EVERY} = 0),
+r as (select *, row_number() over (partition by vec_id order by d, neighbor_id) as rank from p)
+select vec_id, rank::integer as rank, neighbor_id, round(d, 6) as distance from r where rank <= {K}"""
