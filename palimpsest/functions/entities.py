@@ -10,16 +10,16 @@ from pyspark.sql import functions as F
 
 # Capitalised words that begin sentences or name days and months, not people or things.
 COMMON = frozenset(
-    """Already Sometimes Often Always Never However While Although Because If Until Since During Between Before After About Only Even Too Very
-Such Same Another Other Most More Much Many Both All Each Every Any Some Happy Glad Beautiful Interesting Fantastic Wonderful Awesome Amazing
-Cool Nice Great Good Gave Give Found Find Keeping Keep Told Tell Taking Take Making Make Trying Try Needed Need Wanted Want Knew Know Thinking
-Think Looking Look Saw See Coming Come Went Going Go Get Got There Here Then Now Still Though Anyway Probably Maybe Also Like Just Sorry Please
-Exactly Definitely Absolutely Totally Basically Honestly Actually Really Thank Thanks Okay Ok Right Sure Yep Nope Nah No Yes Yeah So Well Hello
-Hi Hey Huh Hmm Ah Oh Wow Which How Why Who When Where What Let's Hadn't Hasn't Haven't Weren't Wasn't Aren't Isn't Shouldn't Couldn't Can't
-Wouldn't Won't Didn't Doesn't Don't You're We're They're She's He's Here's There's What's That's It's I'd I've I'll I'm Sunday Saturday Friday
-Thursday Wednesday Tuesday Monday December November October September August July June April March February January Our Their Her His Your My
-Me I You We They She He Its It Those These That This Can Must Might May Could Should Would Will Did Does Do Had Has Have Being Been Be Were Was
-Are Is As From By With Of For To At On In But Or And An A The""".split()
+    """A About Absolutely Actually After Ah All Already Also Although Always Amazing An And Another Any Anyway April Are Aren't As At August
+Awesome Basically Be Beautiful Because Been Before Being Between Both But By Can Can't Come Coming Cool Could Couldn't December
+Definitely Did Didn't Do Does Doesn't Don't During Each Even Every Exactly Fantastic February Find For Found Friday From Gave Get Give
+Glad Go Going Good Got Great Had Hadn't Happy Has Hasn't Have Haven't He He's Hello Her Here Here's Hey Hi His Hmm Honestly How However
+Huh I I'd I'll I'm I've If In Interesting Is Isn't It It's Its January July June Just Keep Keeping Knew Know Let's Like Look Looking
+Make Making Many March May Maybe Me Might Monday More Most Much Must My Nah Need Needed Never Nice No Nope November Now October Of Often
+Oh Ok Okay On Only Or Other Our Please Probably Really Right Same Saturday Saw See September She She's Should Shouldn't Since So Some
+Sometimes Sorry Still Such Sunday Sure Take Taking Tell Thank Thanks That That's The Their Then There There's These They They're Think
+Thinking This Those Though Thursday To Told Too Totally Try Trying Tuesday Until Very Want Wanted Was Wasn't We We're Wednesday Well
+Went Were Weren't What What's When Where Which While Who Why Will With Won't Wonderful Would Wouldn't Wow Yeah Yep Yes You You're Your""".split()
 )
 _ENDS = re.compile(r"(?:'s)+$|(?:'t)+$|(?:'d)+$|(?:'m)+$|(?:'ll)+$|(?:'ve)+$|(?:'re)+$")
 

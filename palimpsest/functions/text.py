@@ -166,6 +166,13 @@ def intent(text: Column) -> Column:
     return F.struct(name.alias("intent"), best.alias("confidence"), t.alias("temporal"), c.alias("causal"), e.alias("entity"), f.alias("factual"), focus.alias("entity_focus"))
 
 
+def secondary(i: Column) -> Column:
+    """array<struct(intent, score)> of ``intent``'s other kinds above 0.3, the strongest first."""
+    kinds = F.array(*(F.struct(i[k].alias("score"), F.lit(-n).alias("n"), F.lit(k).alias("intent")) for n, k in enumerate(("temporal", "causal", "entity", "factual"))))
+    rest = F.sort_array(F.filter(kinds, lambda k: (k["intent"] != i["intent"]) & (k["score"] > 0.3)), asc=False)
+    return F.transform(rest, lambda k: F.struct(k["intent"].alias("intent"), k["score"].alias("score")))
+
+
 FIRST_PERSON = "(?i)(?<![A-Za-z0-9'])(?:i|me|my|mine|myself|i'm|i've|i'd|i'll)(?![A-Za-z0-9'])"
 
 
@@ -205,6 +212,16 @@ def iso_date(text: Column) -> Column:
     return F.when(text.rlike("^\\d{4}-\\d{1,2}-\\d{1,2}$") & (F.year(d) >= 1970), d)
 
 
+def shifted(at: Column, days: int) -> Column:
+    """A time ``days`` later, or earlier."""
+    return at + F.make_dt_interval(F.lit(days))
+
+
+def day_end(at: Column) -> Column:
+    """The last microsecond of a time's day."""
+    return F.date_trunc("day", at).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(23), F.lit(59), F.lit(59.999999))
+
+
 def content_hash(content: Column) -> Column:
     return F.sha2(content, 256)
 

@@ -104,3 +104,19 @@ def repaired_relations(facts: DataFrame) -> DataFrame:
     x = facts.where("fact_type = 'relationship'").select(F.lower("entity").alias("from_entity"), to.alias("to_entity"), kind.alias("relation"))
     names = facts.select(F.lower("entity").alias("to_entity")).distinct()
     return x.where("to_entity is not null").join(names, "to_entity").select("from_entity", "to_entity", "relation").distinct()
+
+
+def expansion_policy(seeds: DataFrame, intents: DataFrame, edges: DataFrame, mentions: DataFrame, relations: DataFrame, limit: int, least: float = 0.6) -> DataFrame:
+    """(query_id, id, dim, score): what graphs add to the dimensions, for queries whose seeds score ``least`` on average.
+
+    Causal queries get causes and effects, entity and factual ones memories of the seeds' entities; temporal ones both, for time at 0.7 and
+    entities at 0.5.
+    """
+    good = seeds.groupBy("query_id").agg(F.round(F.avg("score"), 9).alias("mean")).where(F.col("mean") >= least).join(intents.select("query_id", "intent"), "query_id").select("query_id", "intent")
+    x = seeds.join(good, "query_id").select("query_id", "id", "score", "intent")
+    of = lambda *kinds: x.where(F.col("intent").isin(*kinds)).select("query_id", "id", "score")
+    causal = expand_causal(of("causal"), edges, limit).select("query_id", "id", F.lit("causal").alias("dim"), "score")
+    entity = expand_entity(of("entity", "factual"), mentions, relations, limit).select("query_id", "id", F.lit("entity").alias("dim"), "score")
+    both = expand_hybrid(of("temporal"), edges, mentions, relations, limit)
+    part = F.explode(F.array(F.struct(F.lit("temporal").alias("dim"), (F.col("score") * 0.7).alias("score")), F.struct(F.lit("entity").alias("dim"), (F.col("score") * 0.5).alias("score")))).alias("p")
+    return causal.unionByName(entity).unionByName(both.select("query_id", "id", part).select("query_id", "id", "p.dim", "p.score"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import InvalidFilter, NotConfigured
 from ..functions import text as tx
 
 OPS = {
@@ -15,6 +17,22 @@ OPS = {
 }
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once, with its lineage cut: a checkpoint in the folder that spark.checkpoint.dir names.
+
+    Lost executors cost running tasks, not the steps before, and what several later steps use isn't planned again
+    in each. Only a session on one machine may go without that setting.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local[") and sc.master != "local":
+            raise NotConfigured("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="palimpsest-"))
+    return df.checkpoint()
+
+
 def micros(df: DataFrame, column: str) -> Column:
     """Microseconds since 1970; times without a zone count as UTC, whatever the session's zone."""
     if df.schema[column].dataType.simpleString() == "timestamp_ntz":
@@ -43,7 +61,7 @@ def condition(f: dict) -> Column:
     elif f["op"] in OPS:
         got = OPS[f["op"]](c, F.lit(str(f["value"])))
     else:
-        raise ValueError(f"unknown filter operation: {f['op']}")
+        raise InvalidFilter(f"unknown filter operation: {f['op']}")
     return F.coalesce(got, F.lit(False))
 
 

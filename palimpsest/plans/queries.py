@@ -474,10 +474,10 @@ def turns(s, d) -> DataFrame:
     return t.join(e, "vec_id").select("id", "content", "speaker", F.col("conv_id").cast("string").alias("conv"), "turn", F.col("embedding").cast("array<double>").alias("embedding"))
 
 
-@query(T.sql("turns", "queries") + f""", {_CONV}, s as (select query_id, v.id, conv_id, turn, round(greatest(0, least(1, list_cosine_similarity(query_embedding, embedding2))), 9) as score from queries cross join v),
+@query(T.sql("turns", "queries") + f""", {_CONV}, s as materialized (select query_id, v.id, conv_id, turn, round(greatest(0, least(1, list_cosine_similarity(query_embedding, embedding2))), 9) as score from queries cross join v),
 p as (select * from (select *, row_number() over (partition by query_id order by score desc, id) as r from s) where r <= 3 and score >= 0.05), ten as (select * from (select *, row_number() over (partition by query_id order by score desc, id) as r from s) where r <= 10),
 w as (select query_id, conv_id, turn + delta as turn, max(score) as p from p cross join (values (-2), (-1), (1), (2)) as t(delta) where turn + delta >= 1 group by all)
-select w.query_id, s.id, round(0.8 * p, 6) as fused_score, round(score, 6) as semantic from w join s on s.query_id = w.query_id and s.conv_id = w.conv_id and s.turn = w.turn where score >= 0.2 and (w.query_id, s.id) not in (select (query_id, id) from ten)
+select w.query_id, s.id, round(0.8 * p, 6) as fused_score, round(score, 6) as semantic from w join s on s.query_id = w.query_id and s.conv_id = w.conv_id and s.turn = w.turn anti join ten on ten.query_id = s.query_id and ten.id = s.id where score >= 0.2
 union all select query_id, id, round(score, 6), round(score, 6) from ten""")
 def dialog_bridge(s, d):
     t, q = turns(s, d), T.queries(s, d)
@@ -487,14 +487,6 @@ def dialog_bridge(s, d):
     return fused_rows(fusion.bridge_dialog(x, t, q), r6("semantic").alias("semantic"))
 
 
-@query()
-def aggregation_expand(s, d):
-    m, q, ask = planner.notes_with_embeddings(s, d), planner.questions_with_embeddings(s, d), detected(s, d)
-    x = fusion.fuse_rrf(fusion.tagged(semantic=search.vector_search(m, q, K)))
-    x = x.withColumn("confidence", F.lit(1.0))
-    return fused_rows(fusion.expand_aggregation(x, q, ask, T.mentions(s, d), m))
-
-
 @query()
 def mmr_select(s, d):
     return fused_rows(fusion.select_mmr(adjusted(s, d), T.memories(s, d), K), "rank")
@@ -506,12 +498,6 @@ def greedy_coverage(s, d):
     return fused_rows(fusion.select_coverage(adjusted(s, d), T.memories(s, d), q, K), "rank")
 
 
-@query()
-def heuristic_rerank(s, d):
-    q = T.queries(s, d).join(intents(s, d), "query_id")
-    return scored(fusion.heuristic_rerank(adjusted(s, d), T.memories(s, d), q, NOW_US, K), "rank")
-
-
 # Graphs
 
 _START = "select event_id as id from events where event_type = 'error'"
@@ -608,11 +594,6 @@ def expand_entity(s, d):
     return scored(graph.expand_entity(seeds(s, d), T.mentions(s, d), T.relations(s, d), K))
 
 
-@query()
-def expand_hybrid(s, d):
-    return scored(graph.expand_hybrid(seeds(s, d), T.causal_edges(s, d), T.mentions(s, d), T.relations(s, d), K))
-
-
 @query(T.sql("relations") + ", n as (select distinct from_entity as e from relations), x as (select from_entity, to_entity from relations where to_entity in (select e from n)) select from_entity, to_entity, 'friend' as relation from x union all select from_entity, to_entity, 'works' from x union all select from_entity, to_entity, 'sister' from x")
 def relationship_repair(s, d):
     r = T.relations(s, d)
@@ -644,11 +625,6 @@ def best_facts(s, d):
     return profile.best_facts(T.facts(s, d)).withColumn("confidence", r6("confidence"))
 
 
-@query()
-def consolidate_profiles(s, d):
-    return profile.consolidate(T.facts(s, d)).select("entity", "fact_type", "value", r6("confidence").alias("confidence"), "source_memory")
-
-
 @query(T.sql("facts") + " select entity, fact_type, value from facts where source_memory not in (select event_id from events where event_type = 'error')")
 def profile_remove_sources(s, d):
     gone = T.table(s, d, "events").where("event_type = 'error'").select(F.col("event_id").alias("id"))
@@ -669,20 +645,11 @@ def annotate_types(s, d):
     return profile.annotate(r).select("id", "record_type", "event_date")
 
 
-@query()
-def entity_focused(s, d):
-    m, q = planner.notes_with_embeddings(s, d), planner.questions_with_embeddings(s, d)
-    i = q.select("query_id", "query_embedding", F.lower(tx.intent(F.col("query_text"))["entity_focus"]).alias("entity")).where("entity is not null")
-    key = search.bm25_search(m, q, 200, stem=False)
-    boost = search.fact_search(T.facts(s, d), i.select("query_id", "entity"), q, 200, stem=False)[0]
-    return fused_rows(search.entity_focused(i, m, T.mentions(s, d), key, boost, K), "rank")
-
-
 @query()
 def query_full(s, d):
-    """All stages for every question over all notes."""
+    """All stages for every question over all notes but the graphs' expansion, which the query expansion_policy has."""
     m, q = planner.notes_with_embeddings(s, d), planner.questions_with_embeddings(s, d)
-    return fused_rows(planner.run(m, q, facts=T.facts(s, d), mentions=T.mentions(s, d), relations=T.relations(s, d), edges=T.causal_edges(s, d), limit=K), "rank")
+    return fused_rows(planner.run(m, q, facts=T.facts(s, d), mentions=T.mentions(s, d), relations=T.relations(s, d), edges=T.causal_edges(s, d), limit=K, expand=False), "rank")
 
 
 # Measures
@@ -736,3 +703,6 @@ def window_counts(s, d):
     from ..streaming.ingest import window_counts as counts
 
     return counts(T.table(s, d, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+from . import more  # noqa: E402, F401  (registers further queries)
