@@ -7,11 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import only, written
-from .words import U, Words, mix, squeeze, texts
+from .store import only, settle, written
+from .words import U, Words, chunks, mix
 
 BINS = 1 << 16  # of hashed words
 META = 1 << 10  # of hashed languages and sources
@@ -35,9 +36,9 @@ class Model:
 
 
 def _meta(values: list, salt: int) -> np.ndarray:
-    """A bin for each language or source; null is one of its own."""
-    h = [int.from_bytes((v or "").encode()[:64].ljust(64, b"\0"), "little") % (2**61 - 1) + (v is None) for v in values]
-    return (mix(np.array(h, U) + U(salt)) % U(META)).astype(np.int64) + BINS
+    """A bin for each language or source, by a hash of the whole value; null is one of its own."""
+    h = [xxhash.xxh64_intdigest(v.encode(), salt) if v is not None else salt for v in values]
+    return (mix(np.array(h, U)) % U(META)).astype(np.int64) + BINS
 
 
 def sparse(docs: list[bytes], langs: list, sources: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,16 +122,11 @@ def fit(rows: np.ndarray, feat: np.ndarray, x: np.ndarray, label: np.ndarray, ep
 
 
 def _columns(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes], list, list]]:
-    docs = [squeeze(t) for t in texts(batch.column(1))]
-    langs, sources = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-    a = size = 0
-    for b in range(len(docs) + 1):
-        if b == len(docs) or size and size + len(docs[b]) > 2 << 20:
-            if b > a:
-                yield a, b, docs[a:b], langs[a:b], sources[a:b]
-            a, size = b, 0
-        if b < len(docs):
-            size += len(docs[b])
+    a = 0
+    for part, docs in chunks(iter([batch])):
+        b = a + part.num_rows
+        yield a, b, docs, part.column(2).to_pylist(), part.column(3).to_pylist()
+        a = b
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,12 +158,15 @@ def _scores(shared, least: float):
 def trained(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> Model:
     """Fitted on the ``most`` labelled documents whose ids have the least hashes, all if there are fewer.
 
-    Several labels of a document: the least counts. Null labels and labels without a document are left out.
+    Several labels of a document: the least counts. Of several rows of a document the one of the least hash counts, so that no more
+    than ``most`` come to the driver. Null labels and labels without a document are left out.
     """
+    settle(docs.sparkSession)
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("label"))
     pick = written(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source").where("text is not null")
-    some = only(slim, pick.select("doc_id"), "doc_id").join(F.broadcast(pick), "doc_id").select("doc_id", "text", "lang", "source", F.col("label").cast("double").alias("label"))
+    own = only(slim, pick.select("doc_id"), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("text", "lang", "source"), F.xxhash64("text", "lang", "source")).alias("d")).select("doc_id", "d.*")
+    some = own.join(F.broadcast(pick), "doc_id").select("doc_id", "text", "lang", "source", F.col("label").cast("double").alias("label"))
     rows = sorted(some.mapInArrow(_features, "doc_id long, label double, feat binary, x binary").collect(), key=lambda r: (r.doc_id, r.feat, r.x))  # at most ``most``
     n = [len(r.feat) // 4 for r in rows]
     feat = np.frombuffer(b"".join(r.feat for r in rows), np.int32).astype(np.int64)
@@ -179,7 +178,7 @@ def scored(docs: DataFrame, model: Model, least: float = LEAST) -> DataFrame:
     """(doc_id, score, keep) for every document: the probability of good quality, and whether it reaches ``least``.
 
     Null and wordless texts have a null score and aren't kept. A null language or source is a
-    value of its own. Repeated rows are scored each. Other columns are ignored. No rows in: no rows out. Without
+    value of its own. A score of exactly ``least`` is kept. Very long texts are scored whole. Repeated rows are scored each. Other columns are ignored. No rows in: no rows out. Without
     labels every document scores about one half.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)

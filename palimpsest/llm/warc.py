@@ -58,9 +58,11 @@ def derivatives(response: DataFrame) -> DataFrame:
     refers_to is the response's record id, source_headers its HTTP headers as they were, the source
     digests those of its block (headers, empty line, payload) and of its payload. Lengths count bytes.
 
-    A response with an empty payload has an empty conversion block. Repeated responses give
-    repeated records. Other columns are ignored. No rows in: no rows out.
+    ``serialised`` writes the source's headers and digests as fields of both records. A response with an empty payload has an empty
+    conversion block; null payloads and headers count as empty, other nulls as missing fields. Record ids follow from the source's, so
+    responses under one record id, which WARC forbids, give records under one id. Very long payloads are taken whole. Other columns are ignored. No rows in: no rows out.
     """
+    response = response.withColumns({c: F.coalesce(c, F.lit("")) for c in ("payload", "http_headers")})
     p = F.col("payload")
     title = F.regexp_extract(p, "(?is)<title[^>]*>(.*?)</title", 1)
     lang = F.regexp_extract(p, "(?i)<html[^>]*\\blang=\"([^\"]*)\"", 1)
@@ -84,10 +86,11 @@ def derivatives(response: DataFrame) -> DataFrame:
 
 
 def serialised(records: DataFrame) -> DataFrame:
-    """(page_id, record_type, record): the records of ``derivatives`` as WARC/1.1 text, two line ends after each."""
-    named = (("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "date"), ("WARC-Block-Digest", "block_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length"))
-    head = [y for k, c in named for y in (F.lit(f"{k}: "), F.col(c).cast("string"), F.lit(CRLF))]
-    return records.select("page_id", "record_type", F.concat(F.lit(f"WARC/1.1{CRLF}"), *head, F.lit(CRLF), "block", F.lit(CRLF * 2)).alias("record"))
+    """(page_id, record_type, record): the records of ``derivatives`` as WARC/1.1 text, two line ends after each; the source's headers and digests are extension fields."""
+    named = (("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "date"), ("WARC-Block-Digest", "block_digest"), ("WARC-Source-Block-Digest", "source_block_digest"), ("WARC-Source-Payload-Digest", "source_payload_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length"))
+    head = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{k}: "), F.col(c).cast("string"), F.lit(CRLF))).otherwise("") for k, c in named]
+    source = F.array_join(F.transform(F.filter(F.split("source_headers", CRLF), lambda h: h != ""), lambda h: F.concat(F.lit("WARC-Source-Header: "), h, F.lit(CRLF))), "")
+    return records.select("page_id", "record_type", F.concat(F.lit(f"WARC/1.1{CRLF}"), *head, source, F.lit(CRLF), "block", F.lit(CRLF * 2)).alias("record"))
 
 
 def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
