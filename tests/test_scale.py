@@ -36,3 +36,25 @@ def test_query_vectors_go_in_rounds(spark, monkeypatch):
     got = search.vector_search(m, m.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding")), 1)
     assert sorted((r.query_id, r.id) for r in got.collect()) == [(i, i) for i in range(20)]
     assert "Join Cross" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _equal_but_for_bits() -> tuple[float, float, float, float]:
+    """Scores and confidences a * c = b * d, where the floats' first product with a hop's 0.7 is the greater."""
+    grid = [0.5 + i / 100 for i in range(50)]
+    seen: dict = {}
+    for a, c in itertools.product(grid, grid):
+        key, p = round(a * 100) * round(c * 100), a * c * 0.7
+        b, d = seen.setdefault(key, (a, c))
+        if p > b * d * 0.7:
+            return a, c, b, d
+    raise AssertionError
+
+
+def test_equal_causal_scores_rank_by_id(spark):
+    a, c, b, d = _equal_but_for_bits()
+    seeds = spark.createDataFrame([(1, 10, a), (1, 20, b)], "query_id long, id long, score double")
+    edges = spark.createDataFrame([(10, 31, c), (20, 30, d)], "cause long, effect long, confidence double")
+    assert [r.id for r in graph.expand_causal(seeds, edges, 1).collect()] == [30]
+    mentions = spark.createDataFrame([], "memory_id long, entity string")
+    relations = spark.createDataFrame([], "from_entity string, to_entity string, relation string")
+    assert [r.id for r in graph.expand_hybrid(seeds, edges, mentions, relations, 1).collect()] == [30]
