@@ -58,3 +58,13 @@ def test_equal_causal_scores_rank_by_id(spark):
     mentions = spark.createDataFrame([], "memory_id long, entity string")
     relations = spark.createDataFrame([], "from_entity string, to_entity string, relation string")
     assert [r.id for r in graph.expand_hybrid(seeds, edges, mentions, relations, 1).collect()] == [30]
+
+
+def test_keyword_search_of_focused_queries_only(spark, monkeypatch):
+    from palimpsest.plans import queries
+
+    seen, real = [], search.bm25_search
+    monkeypatch.setattr(search, "bm25_search", lambda m, q, *a, **kw: seen.append(q) or real(m, q, *a, **kw))
+    queries.QUERIES["entity_focused"](spark, "/root/testdata/sf0.001")
+    texts = [r.query_text for r in seen[0].select("query_text").collect()]
+    assert texts and all(t.startswith(("What does", "Tell me about", "Show", "List")) for t in texts) and not any("led to" in t for t in texts)
