@@ -68,3 +68,38 @@ def test_keyword_search_of_focused_queries_only(spark, monkeypatch):
     queries.QUERIES["entity_focused"](spark, "/root/testdata/sf0.001")
     texts = [r.query_text for r in seen[0].select("query_text").collect()]
     assert texts and all(t.startswith(("What does", "Tell me about", "Show", "List")) for t in texts) and not any("led to" in t for t in texts)
+
+
+def _said(spark, n: int):
+    from palimpsest.plans import more
+
+    e = spark.range(n).selectExpr("id as event_id", "id % 7 as user_id", "array('click', 'error')[id % 2] as event_type", "timestamp_seconds(1704067200 + id * 86400) as ts")
+    return e.transform(lambda x: x), more
+
+
+def test_scores_are_made_once_for_queries_alike(spark, monkeypatch):
+    """No product of queries and descriptions: whatever their number, the scores' input has a row for each kind of both."""
+    e, more = _said(spark, 40)
+    monkeypatch.setattr(more.T, "table", lambda s, d, n: e)
+    raw = more.described(spark, "")
+    q = spark.createDataFrame([(i, f"Why did User{i} see an error?") for i in range(50)] + [(50 + i, f"What of User{i} before 2024-01-0{i + 1}?") for i in range(3)], "query_id long, query_text string")
+    names = q.select("query_id", F.lower(F.regexp_extract("query_text", "User\\d+", 0)).alias("entity"))
+    seen = []
+    real = search._top_of
+    monkeypatch.setattr(search, "_top_of", lambda x, *a, **kw: seen.append(x) or real(x, *a, **kw))
+    for kind in ("temporal", "causal", "entity"):
+        got = search.slm_search(q, raw, names, 3, kind).collect()
+        assert got and max(len([r for r in got if r.query_id == i]) for i in range(53)) <= 3
+    temporal, causal, entity = (x.count() for x in seen)
+    assert temporal <= 4 * 40 and causal <= 2 * 6 and entity <= 50 * 7 * 2 // 4
+
+
+def test_time_expressions_are_scored_once_for_queries_alike(spark, monkeypatch):
+    m = spark.createDataFrame([(i, f"on 2024-01-{i % 9 + 10} it rained") for i in range(90)], "id long, content string")
+    q = spark.createDataFrame([(i, f"what did user{i} do yesterday, on 2024-01-{i % 3 + 10}") for i in range(60)], "query_id long, query_text string")
+    seen, real = [], search._top_of
+    monkeypatch.setattr(search, "_top_of", lambda x, *a, **kw: seen.append(x) or real(x, *a, **kw))
+    one, two = search.temporal_search(m, q, 5).collect(), search.temporal_overlap(m, q, 5).collect()
+    assert {(r.query_id, r.id, r.score) for r in one} == {(i, i % 3 + 9 * j, 1.0) for i in range(60) for j in range(5)}
+    assert {(r.query_id, r.id) for r in two} == {(i, i % 3 + 9 * j) for i in range(60) for j in range(5)}
+    assert seen[0].count() == 3 and seen[1].count() == 3 * 9
