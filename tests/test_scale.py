@@ -103,3 +103,22 @@ def test_time_expressions_are_scored_once_for_queries_alike(spark, monkeypatch):
     assert {(r.query_id, r.id, r.score) for r in one} == {(i, i % 3 + 9 * j, 1.0) for i in range(60) for j in range(5)}
     assert {(r.query_id, r.id) for r in two} == {(i, i % 3 + 9 * j) for i in range(60) for j in range(5)}
     assert seen[0].count() == 3 and seen[1].count() == 3 * 9
+
+
+def test_keywords_of_few_queries_are_scored_in_the_tasks(spark, monkeypatch):
+    m = spark.createDataFrame([(i, f"apple {'pear ' * (i % 4)}plum{i % 5} of the tree") for i in range(60)] + [(60, None), (61, "")], "id long, content string")
+    q = spark.createDataFrame([(1, "pears and apples"), (2, "plum3 plum3 pear"), (3, "nothing known"), (4, None)], "query_id long, query_text string")
+    for stem in (True, False):
+        few = search.bm25_search(m, q, 7, stem)
+        plan = few._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "Join" not in plan
+        with monkeypatch.context() as c:
+            c.setattr(search, "FEW_QUERIES", 0)
+            many = search.bm25_search(m, q, 7, stem).collect()
+        assert {(r.query_id, r.id, round(r.score, 7)) for r in few.collect()} == {(r.query_id, r.id, round(r.score, 7)) for r in many}
+
+
+def test_no_keyword_at_all(spark):
+    m = spark.createDataFrame([(1, "apple tree")], "id long, content string")
+    q = spark.createDataFrame([(1, "of the")], "query_id long, query_text string")
+    assert search.bm25_search(m, q, 3).collect() == []
