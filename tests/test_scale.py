@@ -122,3 +122,12 @@ def test_no_keyword_at_all(spark):
     m = spark.createDataFrame([(1, "apple tree")], "id long, content string")
     q = spark.createDataFrame([(1, "of the")], "query_id long, query_text string")
     assert search.bm25_search(m, q, 3).collect() == []
+
+
+def test_facts_are_merged_before_names_are_looked_up(spark):
+    from palimpsest.operators import profile
+
+    f = spark.createDataFrame([("shop", "organization", "event", "sells", 0.5 + i % 3 / 10, i) for i in range(40)], "entity string, entity_type string, fact_type string, value string, confidence double, source_memory long")
+    x = profile.merged(f)
+    assert [(r.entity, r.confidence, r.source_memory) for r in x.collect()] == [("shop", 0.7, 0)]
+    assert "SortAggregate" not in x._jdf.queryExecution().sparkPlan().toString()
