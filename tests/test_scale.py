@@ -131,3 +131,21 @@ def test_facts_are_merged_before_names_are_looked_up(spark):
     x = profile.merged(f)
     assert [(r.entity, r.confidence, r.source_memory) for r in x.collect()] == [("shop", 0.7, 0)]
     assert "SortAggregate" not in x._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_many_keyword_queries_meet_memories_by_rare_words(spark, monkeypatch):
+    """Common words make no product of queries and memories, whether few or many queries share them, and the rows stay the same."""
+    m = spark.createDataFrame([(i, f"user{i % 20} had purchase{' on monday' * (i % 3)} value {'again ' * (i % 4)}x{i}") for i in range(400)] + [(400, None), (401, "")], "id long, content string")
+    kinds = ("show purchase of {}", "why {} and {} again again", "value on monday", "unknown to all", "user1 or {} purchase monday")
+    q = spark.createDataFrame([(i, kinds[i % 5].replace("{}", f"user{i // 5 % 25}")) for i in range(200)] + [(200, None)], "query_id long, query_text string")
+    want = {(r.query_id, r.id, round(r.score, 7)) for r in search.bm25_search(m, q, 7, stem=False).collect()}
+    seen, real = [], search.top
+    monkeypatch.setattr(search, "top", lambda x, *a, **kw: seen.append(x) or real(x, *a, **kw))
+    monkeypatch.setattr(search, "FEW_PAIRS", 1000)
+    for few in (0, 3, 2048):
+        monkeypatch.setattr(search, "FEW_QUERIES", few)
+        monkeypatch.setattr(search, "FEW_WORDS", -1)
+        seen.clear()
+        got = search.bm25_search(m, q, 7, stem=False).collect()
+        assert {(r.query_id, r.id, round(r.score, 7)) for r in got} == want and len(got) == len(want)
+        assert seen[-1].count() < 200 * 50  # of 200 * 400
